@@ -12,9 +12,8 @@ TERM = "struct<kind string, value string, datatype string, lang string>"
 
 # The written forms of a term and the escapes inside a quoted literal.
 IRI = r"<[^<>\s]*>"
-BLANK = r"_:\S+"
-LITERAL = r'"(?:[^"\\]|\\.)*+"(?:@[A-Za-z0-9\-]+|\^\^<[^<>\s]*>)?'
-ANY_TERM = f"{IRI}|{BLANK}|{LITERAL}"
+BLANK = r"_:[^\s<>\"]*[^\s<>\".]"
+LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[A-Za-z0-9\-]+|\^\^<[^<>\s]*>)?'
 ESCAPE = r"""\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[tbnrf"'\\])"""
 ESCAPED = (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f"))
 
@@ -51,7 +50,7 @@ def parse_term(text: Column) -> Column:
         )
 
     suffix = F.regexp_extract(text, r'"(@[A-Za-z0-9\-]+|\^\^<[^<>\s]*>)?$', 1)
-    lexical = _unescape(F.regexp_extract(text, r'(?s)^"(.*)"', 1))
+    lexical = _unescape(F.substr(text, F.lit(2), F.length(text) - F.length(suffix) - 2))
     datatype = F.nullif(F.regexp_extract(suffix, r"^\^\^<(.*)>$", 1), F.lit(""))
     lang = F.nullif(F.regexp_extract(suffix, "^@(.*)$", 1), F.lit(""))
     return (

@@ -40,7 +40,7 @@ def capitalize(text: Column) -> Column:
 def extract_query(completion: Column) -> Column:
     """The query inside a model completion: first fenced block, else first inline code, else the whole text."""
     parts = F.split(completion, FENCE, 3)
-    fenced = F.regexp_replace(parts[1], FENCE_TAG, "")
+    fenced = F.regexp_replace(F.get(parts, F.lit(1)), FENCE_TAG, "")
     inline = F.nullif(F.regexp_extract(completion, INLINE_CODE, 1), F.lit(""))
     return strip(F.when(F.size(parts) == 3, fenced).otherwise(F.coalesce(inline, completion)))
 
@@ -88,7 +88,7 @@ def float_text(number: Column) -> Column:
     return (
         F.when(F.isnan(number), "nan")
         .when(F.abs(number) == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(exponent.isNull(), raw)
+        .when(~F.contains(raw, F.lit("E")), raw)
         .when(exponent.between(0, 15), F.concat(sign, large))
         .when(exponent.between(-4, -1), F.concat(sign, small))
         .otherwise(F.concat(sign, scientific))

@@ -30,11 +30,11 @@ def _gather(rows: DataFrame, keys: list[str], *fields: str) -> DataFrame:
 
 def _items(**fields: Column) -> Column:
     """One array of ``struct<field, pos, token>`` over several token arrays."""
-    tagged = [
-        F.transform(tokens, lambda t, i, f=field: F.struct(F.lit(f).alias("field"), i.alias("pos"), t.alias("token")))
-        for field, tokens in fields.items()
-    ]
-    return F.concat(*tagged)
+
+    def tagged(field: str, tokens: Column) -> Column:
+        return F.transform(tokens, lambda t, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("token")))
+
+    return F.concat(*[tagged(field, tokens) for field, tokens in fields.items()])
 
 
 def encode_ids(examples: DataFrame, vocabulary: DataFrame) -> DataFrame:

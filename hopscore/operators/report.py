@@ -44,11 +44,16 @@ def _measures() -> dict[str, Column]:
 
 
 def report_cells(pairs: DataFrame, fields: list[str], keys: list[str] = CONFIG) -> DataFrame:
-    """Additive measures per configuration and combination of field values; fields are prefixed ``field:``."""
-    named = pairs.select(
-        *keys, "gen", "exec", "eval", *[field_value(pairs, f).cast("string").alias(f"field:{f}") for f in fields]
-    )
-    return named.groupBy(*keys, *[f"field:{f}" for f in fields]).agg(*[m.alias(n) for n, m in _measures().items()])
+    """Additive measures per configuration, combination of field values, error category and relations named missing.
+
+    Fields are prefixed ``field:``. Category and relations are NULL but for failed executions.
+    """
+    failed, error = _is_failed(), F.col("exec.error")
+    dimensions = {f"field:{f}": field_value(pairs, f).cast("string") for f in fields}
+    dimensions["category"] = F.when(failed, classify_error(error))
+    dimensions["relations"] = F.when(failed, missing_relations(error))
+    named = pairs.select(*keys, "gen", "exec", "eval", *[d.alias(n) for n, d in dimensions.items()])
+    return named.groupBy(*keys, *[f"`{n}`" for n in dimensions]).agg(*[m.alias(n) for n, m in _measures().items()])
 
 
 def _stats(cells: DataFrame, *by: str) -> DataFrame:
@@ -80,23 +85,22 @@ def by_field(cells: DataFrame, fields: list[str], keys: list[str] = CONFIG) -> D
     return _stats(long, *keys, "field", "value")
 
 
-def _failed(results: DataFrame) -> DataFrame:
-    return results.filter(F.col("exec").isNotNull() & ~F.coalesce(F.col("exec.success"), F.lit(False)))
+def _is_failed() -> Column:
+    """Executed without success; unlike in ``error_count``, missing executions are not among them."""
+    return F.col("exec").isNotNull() & ~F.coalesce(F.col("exec.success"), F.lit(False))
 
 
-def total_errors(results: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
-    """Failed executions per configuration; unlike ``error_count``, missing executions are not among them."""
-    failed = F.col("exec").isNotNull() & ~F.coalesce(F.col("exec.success"), F.lit(False))
-    return results.groupBy(*keys).agg(F.count_if(failed).alias("total_errors"))
+def total_errors(cells: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
+    """Failed executions per configuration."""
+    failed = F.when(F.col("category").isNotNull(), F.col("n")).otherwise(0)
+    return cells.groupBy(*keys).agg(F.sum(failed).alias("total_errors"))
 
 
-def error_categories(results: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
+def error_categories(cells: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
     """Failed executions per configuration and category."""
-    classified = _failed(results).select(*keys, classify_error(F.col("exec.error")).alias("category"))
-    return classified.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n"))
+    return cells.filter(F.col("category").isNotNull()).groupBy(*keys, "category").agg(F.sum("n").alias("n"))
 
 
-def unknown_relations(results: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
+def unknown_relations(cells: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
     """The distinct relations that error texts name as missing, per configuration."""
-    named = _failed(results).select(*keys, F.explode(missing_relations(F.col("exec.error"))).alias("relation"))
-    return named.distinct()
+    return cells.select(*keys, F.explode("relations").alias("relation")).distinct()

@@ -9,7 +9,6 @@ from hopscore.functions.answers import (
     accuracy,
     exact_match,
     normalize_answers,
-    precision_recall_f1,
     set_scores,
     string_match,
 )
@@ -17,19 +16,35 @@ from hopscore.functions.text import fold
 from hopscore.model import EVAL_TYPE, KEY
 
 
-def _succeeded(execution: Column) -> Column:
-    return F.coalesce(execution["success"], F.lit(False))
-
-
 def _score_struct(succeeded: Column, scores: dict[str, Column]) -> Column:
     return F.struct(*[F.when(succeeded, scores[name]).alias(name) for name in EVAL_TYPE.names])
 
 
-def score(gold_answers: Column, execution: Column) -> Column:
-    """Evaluation struct of one result. A failed or missing execution has a struct without scores, not a NULL."""
-    gold, predicted = normalize_answers(gold_answers), normalize_answers(execution["result"])
-    scores = {"exact_match": exact_match(gold, predicted), **precision_recall_f1(gold, predicted)}
-    return _score_struct(_succeeded(execution), scores)
+def add_scores(pairs: DataFrame, where: Column | None = None) -> DataFrame:
+    """Add ``scores`` to rows with ``answer`` and ``exec``, row by row.
+
+    A failed or missing execution has a struct without scores, not a NULL; so has a row outside ``where``. Sets and
+    their sizes are columns of their own on the way, so each is worked out once and only where it is needed.
+    """
+    succeeded = F.coalesce(F.col("exec.success"), F.lit(False))
+    counted = succeeded if where is None else succeeded & where
+    sets = pairs.withColumns(
+        {
+            "_gold": F.when(counted, normalize_answers(F.col("answer"))),
+            "_predicted": F.when(counted, normalize_answers(F.col("exec.result"))),
+        }
+    )
+    sizes = sets.withColumns(
+        {
+            "_same": exact_match(F.col("_gold"), F.col("_predicted")),
+            "_hits": F.size(F.array_intersect("_gold", "_predicted")),
+            "_n_gold": F.size("_gold"),
+            "_n_predicted": F.size("_predicted"),
+        }
+    )
+    scores = {"exact_match": F.col("_same"), **set_scores(F.col("_hits"), F.col("_n_gold"), F.col("_n_predicted"))}
+    scored = sizes.withColumn("scores", _score_struct(F.col("_gold").isNotNull(), scores))
+    return scored.select(*pairs.columns, "scores")
 
 
 def pair_results(results: DataFrame, questions: DataFrame) -> DataFrame:
@@ -40,7 +55,7 @@ def pair_results(results: DataFrame, questions: DataFrame) -> DataFrame:
 def score_results(results: DataFrame, questions: DataFrame) -> DataFrame:
     """``key, eval`` for every result that has a question."""
     paired = pair_results(results.select(*KEY, "exec"), questions.select("id", "answer"))
-    return paired.select(*KEY, score(F.col("answer"), F.col("exec")).alias("eval"))
+    return add_scores(paired).select(*KEY, F.col("scores").alias("eval"))
 
 
 def score_answer_rows(executions: DataFrame, predicted: DataFrame, gold: DataFrame) -> DataFrame:

@@ -19,18 +19,21 @@ from hopscore.operators.report import (
     unknown_relations,
 )
 from hopscore.operators.scoring import pair_results
+from hopscore.session import cut_lineage
 
 MAX_VALUES = 10_000  # values per field that fit in one JSON document
 
 
 class Report:
-    """The tables of a report. ``pairs`` are results joined with their questions; none at all is an error when the
-    report is written."""
+    """The tables of a report on all configurations: ``summary``, ``by_field``, ``total_errors``, ``error_types`` and
+    ``missing_relations``, each with a ``run_id``. Results without a question are left out.
+
+    Making one reads the results and questions once and keeps the cells; the tables are sums over those.
+    """
 
     def __init__(self, results: DataFrame, questions: DataFrame, dataset: str, fields: list[str]):
         self.fields = fields
-        pairs = pair_results(results, questions)
-        cells = report_cells(pairs, fields)
+        cells = cut_lineage(report_cells(pair_results(results, questions), fields))
         name = run_id(F.lit(dataset), *map(F.col, CONFIG)).alias("run_id")
 
         def named(table: DataFrame) -> DataFrame:
@@ -38,9 +41,9 @@ class Report:
 
         self.summary = named(summary(cells))
         self.by_field = named(by_field(cells, fields))
-        self.total_errors = named(total_errors(pairs))
-        self.error_types = named(error_categories(pairs))
-        self.missing_relations = named(unknown_relations(pairs))
+        self.total_errors = named(total_errors(cells))
+        self.error_types = named(error_categories(cells))
+        self.missing_relations = named(unknown_relations(cells))
 
     def json(self) -> DataFrame:
         """``run_id, json``: one document per configuration. Lists are in text order."""
@@ -55,7 +58,11 @@ class Report:
             return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value.alias("v")))))
 
         values = checked.groupBy("run_id", "field").agg(entries("value", stats).alias("values"))
-        fields = values.groupBy("run_id").agg(entries("field", F.col("values")).alias("by_field"))
+        empty = F.create_map().cast(values.schema["values"].dataType)
+        named = [F.any_value(F.when(F.col("field") == f, F.col("values")), ignoreNulls=True).alias(f) for f in self.fields]
+        fields = values.groupBy("run_id").agg(*named) if self.fields else self.summary.select("run_id")
+        document = F.struct(*[F.coalesce(F.col(f), empty).alias(f) for f in self.fields])
+        fields = fields.select("run_id", document.alias("by_field"))
         types = self.error_types.groupBy("run_id").agg(entries("category", F.col("n")).alias("error_types"))
         missing = self.missing_relations.groupBy("run_id").agg(F.array_sort(F.collect_set("relation")).alias("missing_relations"))
         whole = self.summary.select("run_id", F.col("count").alias("total"), stats.alias("summary"))
@@ -144,12 +151,19 @@ def markdown_lines(report: Report) -> DataFrame:
     return reduce(DataFrame.unionByName, blocks)
 
 
+def _not_empty(report: Report) -> None:
+    if report.summary.isEmpty():
+        raise ValueError("no results to report on")
+
+
 def write_json(report: Report, path: str) -> None:
     """One JSON document per line."""
+    _not_empty(report)
     report.json().select("json").write.mode("overwrite").text(path)
 
 
 def write_markdown(report: Report, path: str) -> None:
     """A folder per run; the files of a folder, in name order, are the report."""
+    _not_empty(report)
     lines = report.markdown().orderBy("run_id", "section", "item", "value", "part")
     lines.select("run_id", "line").write.mode("overwrite").partitionBy("run_id").text(path)

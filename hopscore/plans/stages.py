@@ -11,7 +11,7 @@ from hopscore.model import CONFIG, KEY
 from hopscore.operators.execution import exec_outcome
 from hopscore.operators.generation import Model, generation_of, predict
 from hopscore.operators.prompts import prompt, with_schema
-from hopscore.operators.scoring import score
+from hopscore.operators.scoring import add_scores
 from hopscore.operators.selection import pending_execute, pending_generate
 from hopscore.operators.staging import save_execution, save_generation
 
@@ -75,7 +75,5 @@ def evaluate_stage(
         todo &= F.col("eval").isNull()
     for column, value in zip(CONFIG, config or ()):
         todo &= F.col(column) == value
-    fresh = score(F.col("answer"), F.col("exec"))
-    return results.join(asked, "question_id", "left").select(
-        *KEY, "gen", "exec", F.when(todo, fresh).otherwise(F.col("eval")).alias("eval")
-    )
+    scored = add_scores(results.join(asked, "question_id", "left").withColumn("_todo", todo), F.col("_todo"))
+    return scored.select(*KEY, "gen", "exec", F.when(F.col("_todo"), F.col("scores")).otherwise(F.col("eval")).alias("eval"))

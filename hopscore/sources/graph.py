@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopscore.functions.terms import ANY_TERM, parse_term
+from hopscore.functions.terms import BLANK, IRI, LITERAL, parse_term
+from hopscore.functions.text import strip
 
 
 def edges_from(relations: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
@@ -24,13 +25,17 @@ def edges_from(relations: list[tuple[str, DataFrame, Column, Column]]) -> DataFr
 
 def parse_triples(lines: DataFrame, text: str = "value") -> DataFrame:
     """N-Triples lines -> ``s, p, o`` in written form. Blank lines and comments are skipped, bad ones are an error."""
-    line = F.trim(F.col(text))
-    pattern = rf"^({ANY_TERM})\s*({ANY_TERM})\s*({ANY_TERM})\s*\.\s*(?:#.*)?$"
-    parsed = [F.regexp_extract(line, pattern, group) for group in (1, 2, 3)]
-    bad = F.raise_error(F.concat(F.lit("not a triple: "), line))
-    return lines.filter((line != "") & ~F.startswith(line, F.lit("#"))).select(
-        F.when(parsed[0] != "", parsed[0]).otherwise(bad).alias("s"), parsed[1].alias("p"), parsed[2].alias("o")
-    )
+    line = strip(F.col(text))
+    wanted = lines.filter((line != "") & ~F.startswith(line, F.lit("#"))).select(line.alias("line"))
+    subject = F.regexp_extract("line", f"^({IRI}|{BLANK})", 1)
+    after = F.substr("line", F.length("s") + 1)
+    predicate = F.regexp_extract(after, rf"^\s*({IRI})", 1)
+    rest = F.substr(after, F.length(F.regexp_extract(after, rf"^\s*{IRI}", 0)) + 1)
+    value = F.regexp_extract(rest, rf"^\s*({IRI}|{BLANK}|{LITERAL})\s*\.\s*(?:#.*)?$", 1)
+    parsed = wanted.withColumn("s", subject).select("line", "s", predicate.alias("p"), value.alias("o"))
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), "line"))
+    whole = (F.col("s") != "") & (F.col("p") != "") & (F.col("o") != "")
+    return parsed.select("s", "p", F.when(whole, F.col("o")).otherwise(bad).alias("o"))
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:

@@ -95,7 +95,7 @@ results AS (
          {_sql_pick("o_custkey", LANGS)} AS lang, {_sql_pick("o_orderkey", MODELS)} AS model,
          CASE o_orderkey % 17 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '{_QUERY_TEXT}' || o_orderkey || ' RETURN p' END AS query,
          o_orderkey % 13 <> 0 AS has_stats,
-         CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice / 100000 END AS duration,
+         CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice / 100 END AS duration,
          CASE WHEN o_orderkey % 13 <> 0 THEN 100 + 10 * coalesce(n_lines, 0) END AS input_tokens,
          CASE WHEN o_orderkey % 13 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 500 END AS output_tokens,
          CASE WHEN o_orderkey % 13 <> 0 THEN coalesce(n_lines, 0) END AS cached_tokens,
@@ -116,7 +116,7 @@ def results(t: Tables) -> DataFrame:
     n_lines = F.coalesce("n_lines", F.lit(0)).cast("bigint")
     query = F.concat(F.lit(_QUERY_TEXT), key.cast("string"), F.lit(" RETURN p"))
     stats = F.struct(
-        (F.col("o_totalprice") / 100000).alias("duration"),
+        (F.col("o_totalprice") / 100).alias("duration"),
         (n_lines * 10 + 100).alias("input_tokens"),
         (F.floor("o_totalprice").cast("bigint") % 500).alias("output_tokens"),
         n_lines.alias("cached_tokens"),
@@ -145,8 +145,12 @@ def results(t: Tables) -> DataFrame:
 _TRIM = " || ".join(f"chr({ord(space)})" for space in SPACES)
 
 
+def sql_strip(text: str) -> str:
+    return f"trim({text}, {_TRIM})"
+
+
 def sql_fold(text: str) -> str:
-    return f"lower(trim({text}, {_TRIM}))"
+    return f"lower({sql_strip(text)})"
 
 
 def sql_normal(answers: str) -> str:
