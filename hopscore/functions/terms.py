@@ -49,10 +49,10 @@ def parse_term(text: Column) -> Column:
             F.lit(kind).alias("kind"), value.alias("value"), datatype.alias("datatype"), lang.alias("lang")
         )
 
-    suffix = F.regexp_extract(text, r'"(@[A-Za-z0-9\-]+|\^\^<[^<>\s]*>)?$', 1)
+    suffix = F.substring_index(text, '"', -1)  # what follows the closing quote
     lexical = _unescape(F.substr(text, F.lit(2), F.length(text) - F.length(suffix) - 2))
-    datatype = F.nullif(F.regexp_extract(suffix, r"^\^\^<(.*)>$", 1), F.lit(""))
-    lang = F.nullif(F.regexp_extract(suffix, "^@(.*)$", 1), F.lit(""))
+    datatype = F.when(F.startswith(suffix, F.lit("^^<")), F.substr(suffix, F.lit(4), F.length(suffix) - 4))
+    lang = F.when(F.startswith(suffix, F.lit("@")), F.substr(suffix, F.lit(2)))
     return (
         F.when(F.startswith(text, F.lit("<")), term("uri", F.substr(text, F.lit(2), F.length(text) - 2)))
         .when(F.startswith(text, F.lit("_:")), term("bnode", F.substr(text, F.lit(3))))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopscore.functions.terms import BLANK, IRI, LITERAL, parse_term
-from hopscore.functions.text import strip
+
+BLANKS = " \t\r\n\f\x0b"  # what may stand between the terms of a line
 
 
 def edges_from(relations: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
@@ -25,17 +26,18 @@ def edges_from(relations: list[tuple[str, DataFrame, Column, Column]]) -> DataFr
 
 def parse_triples(lines: DataFrame, text: str = "value") -> DataFrame:
     """N-Triples lines -> ``s, p, o`` in written form. Blank lines and comments are skipped, bad ones are an error."""
-    line = strip(F.col(text))
-    wanted = lines.filter((line != "") & ~F.startswith(line, F.lit("#"))).select(line.alias("line"))
-    subject = F.regexp_extract("line", f"^({IRI}|{BLANK})", 1)
-    after = F.substr("line", F.length("s") + 1)
-    predicate = F.regexp_extract(after, rf"^\s*({IRI})", 1)
-    rest = F.substr(after, F.length(F.regexp_extract(after, rf"^\s*{IRI}", 0)) + 1)
+    wanted = lines.select(F.col(text).alias("line")).filter(F.rlike("line", F.lit(r"^\s*[^#\s]")))
+    subject = F.regexp_extract("line", rf"^\s*({IRI}|{BLANK})", 0)
+    heads = wanted.select("line", subject.alias("s")).select("line", "s", F.substr("line", F.length("s") + 1).alias("rest"))
+    heads = heads.select("line", "s", F.regexp_extract("rest", rf"^\s*{IRI}", 0).alias("p"), "rest")
+    rest = F.substr("rest", F.length("p") + 1)
     value = F.regexp_extract(rest, rf"^\s*({IRI}|{BLANK}|{LITERAL})\s*\.\s*(?:#.*)?$", 1)
-    parsed = wanted.withColumn("s", subject).select("line", "s", predicate.alias("p"), value.alias("o"))
+    parsed = heads.select("line", "s", "p", value.alias("o"))
     bad = F.raise_error(F.concat(F.lit("not a triple: "), "line"))
     whole = (F.col("s") != "") & (F.col("p") != "") & (F.col("o") != "")
-    return parsed.select("s", "p", F.when(whole, F.col("o")).otherwise(bad).alias("o"))
+    return parsed.select(
+        F.ltrim("s", F.lit(BLANKS)).alias("s"), F.ltrim("p", F.lit(BLANKS)).alias("p"), F.when(whole, F.col("o")).otherwise(bad).alias("o")
+    )
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
