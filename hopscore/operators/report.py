@@ -81,7 +81,8 @@ def summary(cells: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
 def by_field(cells: DataFrame, fields: list[str], keys: list[str] = CONFIG) -> DataFrame:
     """All statistics per configuration, field and value (as text). A row without the field is left out of it."""
     values = [F.struct(F.lit(f).alias("field"), F.col(f"field:{f}").alias("value")) for f in fields]
-    long = cells.select("*", F.inline(F.array(*values))).filter(F.col("value").isNotNull())
+    listed = F.array(*values).cast("array<struct<field string, value string>>")
+    long = cells.select("*", F.inline(listed)).filter(F.col("value").isNotNull())
     return _stats(long, *keys, "field", "value")
 
 

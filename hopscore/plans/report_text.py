@@ -61,7 +61,8 @@ class Report:
         empty = F.create_map().cast(values.schema["values"].dataType)
         named = [F.any_value(F.when(F.col("field") == f, F.col("values")), ignoreNulls=True).alias(f) for f in self.fields]
         fields = values.groupBy("run_id").agg(*named) if self.fields else self.summary.select("run_id")
-        document = F.struct(*[F.coalesce(F.col(f), empty).alias(f) for f in self.fields])
+        members = [F.coalesce(F.col(f), empty).alias(f) for f in self.fields]
+        document = F.struct(*members) if members else empty
         fields = fields.select("run_id", document.alias("by_field"))
         types = self.error_types.groupBy("run_id").agg(entries("category", F.col("n")).alias("error_types"))
         missing = self.missing_relations.groupBy("run_id").agg(F.array_sort(F.collect_set("relation")).alias("missing_relations"))

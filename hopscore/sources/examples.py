@@ -33,7 +33,7 @@ def read_examples(
     for split in SPLITS:
         for suffix, whole in ((".json", True), (".jsonl", False)):
             try:
-                texts = spark.read.option("wholetext", whole).text(os.path.join(folder, split + suffix))
+                texts = spark.read.text(os.path.join(folder, split + suffix), wholetext=whole)
             except AnalysisException as error:
                 if error.getCondition() == "PATH_NOT_FOUND":
                     continue

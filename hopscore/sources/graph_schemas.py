@@ -14,7 +14,7 @@ from hopscore.functions.graph_schemas import schema_text
 def read_schema(spark: SparkSession, path: str, lang: str) -> DataFrame | None:
     """``lang, json, schema_text`` of one schema file (or of a folder of them); None if there is no such path."""
     try:
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None

@@ -50,7 +50,7 @@ def read_question_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_question_arrays(spark: SparkSession, path: str) -> DataFrame:
     """JSON files that hold one array each. A file is read by one task; turn large ones into lines once."""
-    files = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_path")
+    files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
     records = files.select(
         "file_path", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "value")
     ).select("value", F.struct("file_path", "pos").alias("_order"))

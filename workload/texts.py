@@ -122,19 +122,24 @@ def provider_of_models(t: Tables) -> DataFrame:
 
 
 def _echo_model():
-    """A stand-in for a user model: answers every prompt with a fenced query about it."""
-    import pandas as pd
+    """A stand-in for a user model: answers every prompt with a fenced query about it. A function made inside another
+    travels to the workers whole, so they need not find this module."""
 
-    def run(batch):
-        return pd.DataFrame(
-            {
-                "content": "```cypher\nMATCH (n) WHERE n.text = '" + batch["prompt"] + "' RETURN n\n```",
-                "duration": batch["prompt"].str.len() / 4.0,
-                "input_tokens": batch["prompt"].str.len(),
-            }
-        )
+    def load():
+        import pandas as pd
 
-    return run
+        def run(batch):
+            return pd.DataFrame(
+                {
+                    "content": "```cypher\nMATCH (n) WHERE n.text = '" + batch["prompt"] + "' RETURN n\n```",
+                    "duration": batch["prompt"].str.len() / 4.0,
+                    "input_tokens": batch["prompt"].str.len(),
+                }
+            )
+
+        return run
+
+    return load
 
 
 @query(
@@ -143,7 +148,7 @@ def _echo_model():
 )
 def predict(t: Tables) -> DataFrame:
     asked = t.conversations.select("conv_id", "turn", F.col("text").alias("prompt"))
-    return generation.predict(asked, _echo_model, ["conv_id", "turn"]).select(
+    return generation.predict(asked, _echo_model(), ["conv_id", "turn"]).select(
         "conv_id", "turn", "content", *[f"stats.{name}" for name in ("duration", "input_tokens", "output_tokens")]
     )
 
@@ -155,14 +160,17 @@ def predict(t: Tables) -> DataFrame:
 )
 def generate_stage_skip(t: Tables) -> DataFrame:
     """One configuration generated for the questions that have no row yet."""
-    table = generate_stage(views.questions(t), views.results(t), _echo_model, *CONFIG)
+    table = generate_stage(views.questions(t), views.results(t), _echo_model(), *CONFIG)
     return table.select("question_id", "method", "lang", "model", "gen.query")
 
 
-def _upper_or_fail(source: str) -> str:
-    if "a" in source.split()[-1]:
-        raise ValueError("cannot translate")
-    return "MATCH " + source
+def _translator():
+    def upper_or_fail(source: str) -> str:
+        if "a" in source.split()[-1]:
+            raise ValueError("cannot translate")
+        return "MATCH " + source
+
+    return upper_or_fail
 
 
 @query("SELECT p_partkey, CASE WHEN split_part(p_name, ' ', -1) LIKE '%a%' THEN p_name ELSE 'MATCH ' || p_name END AS query, p_name AS other FROM part")
@@ -170,8 +178,8 @@ def translate_fallback(t: Tables) -> DataFrame:
     name = F.col("p_name")
     return t.part.select(
         "p_partkey",
-        generation.translate(name, "cypher", _upper_or_fail).alias("query"),
-        generation.translate(name, "gremlin", _upper_or_fail).alias("other"),
+        generation.translate(name, "cypher", _translator()).alias("query"),
+        generation.translate(name, "gremlin", _translator()).alias("other"),
     )
 
 
