@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopscore.model import SPLITS
 from hopscore.operators.vocabulary import END, PAD, START, UNKNOWN, look_up, tokenize
 
 IGNORED = -100  # Fixed value: the label a loss function leaves out.
@@ -12,9 +13,13 @@ ANSWER_DEFAULT = 0  # Fixed value: the id of an unknown or absent choice or answ
 
 
 def split_lengths(examples: DataFrame) -> DataFrame:
-    """``split, max_length``: the longest input or target of each split, with its start and end marks."""
+    """``split, max_length``: the longest input or target of each split, with its start and end marks. The splits are
+    the three known ones, so this is at most three rows; any other name is an error."""
     longest = F.greatest(F.size(tokenize(F.col("input"))), F.size(tokenize(F.col("target"))))
-    return examples.groupBy("split").agg((F.max(longest) + 2).alias("max_length"))
+    unknown = F.raise_error(F.concat(F.lit("unknown split: "), F.coalesce("split", F.lit("NULL"))))
+    split = F.when(F.col("split").isin(*SPLITS), F.col("split")).otherwise(unknown).alias("split")
+    lengths = examples.groupBy(split).agg((F.max(longest) + 2).alias("max_length"))
+    return lengths.filter(F.col("split").isin(*SPLITS))
 
 
 def _gather(rows: DataFrame, keys: list[str], *fields: str) -> DataFrame:
@@ -66,7 +71,7 @@ def mask(ids: Column, length: Column) -> Column:
 
 def encode_examples(examples: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``split, example_id, source_ids, source_mask, target_ids``, padded to the longest sequence of the split."""
-    padded = encode_ids(examples, vocabulary).join(split_lengths(examples), "split")
+    padded = encode_ids(examples, vocabulary).join(F.broadcast(split_lengths(examples)), "split")
     length = F.col("max_length")
     return padded.select(
         "split",

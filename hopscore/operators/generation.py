@@ -17,11 +17,12 @@ Batch = pd.DataFrame
 Model = Callable[[Batch], Batch]
 
 
-def predict(prompts: DataFrame, load: Callable[[], Model], keep: list[str]) -> DataFrame:
+def predict(prompts: DataFrame, load: Callable[[], Model], keep: list[str], workers: int | None = None) -> DataFrame:
     """Run a user model over all rows: ``keep`` columns, ``content`` and ``stats``.
 
     ``load`` is called once per task and returns a function from a batch (columns ``keep`` and ``prompt``) to a frame
-    with ``content`` and, if it has them, ``duration`` and the token counts. Parallelism is the number of partitions.
+    with ``content`` and, if it has them, ``duration`` and the token counts. ``workers`` deals the rows out evenly to
+    that many tasks; without it the tasks are those of the plan, which may be few when rows are few and calls are slow.
     """
     stats = STATS_TYPE.names
     fields = [prompts.schema[c] for c in keep] + [T.StructField("content", T.StringType()), *STATS_TYPE.fields]
@@ -36,7 +37,8 @@ def predict(prompts: DataFrame, load: Callable[[], Model], keep: list[str]) -> D
                 columns[name] = out[name].to_numpy() if name in out else [None] * len(batch)
             yield pd.DataFrame(columns)
 
-    done = prompts.select(*keep, "prompt").mapInPandas(run, T.StructType(fields))
+    asked = prompts.select(*keep, "prompt")
+    done = (asked.repartition(workers) if workers else asked).mapInPandas(run, T.StructType(fields))
     measured = F.coalesce(*[F.col(c).cast("double") for c in stats]).isNotNull()
     return done.select(*keep, "content", F.when(measured, F.struct(*stats)).alias("stats"))
 

@@ -54,7 +54,8 @@ def triple_select(triples: DataFrame, patterns: list[Pattern], select: list[str]
     for i, pattern in enumerate(open_patterns):
         later = output.union(*map(_variables, open_patterns[i + 1 :]))
         matches = _matches(triples, pattern, later | bound)
-        matches = matches.distinct() if distinct else matches
+        if distinct and len(matches.columns) < len(_variables(pattern)):
+            matches = matches.distinct()
         shared = sorted(_variables(pattern) & bound)
         bindings = bindings.join(matches, shared) if bindings is not None else matches
         bound = (bound | _variables(pattern)) & later

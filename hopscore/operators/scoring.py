@@ -52,6 +52,11 @@ def pair_results(results: DataFrame, questions: DataFrame) -> DataFrame:
     return results.join(questions, results["question_id"] == questions["id"], "inner").drop(questions["id"])
 
 
+def evaluate_pairs(pairs: DataFrame) -> DataFrame:
+    """Results already joined with their questions, with ``eval`` worked out afresh: scores and report in one join."""
+    return add_scores(pairs).withColumn("eval", F.col("scores")).drop("scores")
+
+
 def score_results(results: DataFrame, questions: DataFrame) -> DataFrame:
     """``key, eval`` for every result that has a question."""
     paired = pair_results(results.select(*KEY, "exec"), questions.select("id", "answer"))

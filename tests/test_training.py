@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hopscore.model import KEY
@@ -105,6 +106,11 @@ def test_choices_stay_aligned(spark, examples):
     assert rows == {1: ([1, 0], 0), 2: ([0], 0), 3: ([0], 0), 4: ([], 1)}
 
 
+def test_unknown_split_is_an_error(spark, examples):
+    with pytest.raises(PySparkException):
+        encode.split_lengths(examples.withColumn("split", F.lit("dev"))).collect()
+
+
 def test_pad_cuts_too(spark):
     row = spark.createDataFrame([([1, 2, 3],)], "x array<int>").select(
         encode.pad(F.col("x"), F.lit(2)).alias("cut"), encode.mask(F.col("x"), F.lit(2)).alias("m"), encode.pad(F.col("x"), F.lit(4)).alias("fill")
@@ -139,6 +145,8 @@ def test_predict_loads_once_per_task(spark):
     try:
         prompts = spark.range(0, 6, 1, 1).select(F.col("id").cast("string").alias("question_id"), F.lit("ab").alias("prompt"))
         rows = predict(prompts, load, ["question_id"]).collect()
+        spread = predict(prompts, load, ["question_id"], workers=3)
+        assert spread.rdd.getNumPartitions() == 3 and spread.count() == 6
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [r.content for r in rows] == ["AB"] * 6

@@ -31,7 +31,8 @@ def scored(t: Tables) -> DataFrame:
 
 
 def _cells(t: Tables, keys: list[str] = CONFIG) -> DataFrame:
-    return report.report_cells(scoring.pair_results(scored(t), views.questions(t)), FIELDS, keys)
+    pairs = scoring.evaluate_pairs(scoring.pair_results(views.results(t), views.questions(t)))
+    return report.report_cells(pairs, FIELDS, keys)
 
 
 def _scores(table: DataFrame) -> DataFrame:
