@@ -74,4 +74,5 @@ def term_text(term: Column) -> Column:
         .when(datatype == types["boolean"], boolean)
         .when(datatype == types["decimal"], decimal)
     )
-    return F.when(term["kind"] == "bnode", F.concat(F.lit("_:"), value)).otherwise(F.coalesce(number, value))
+    blank = F.concat(F.lit("_:"), value)
+    return F.when(term["kind"] == "bnode", blank).when(datatype.isNull(), value).otherwise(F.coalesce(number, value))

@@ -69,7 +69,7 @@ def evaluate_stage_skip(t: Tables) -> DataFrame:
     return table.select(*KEY, F.col("eval").isNotNull().alias("has_eval"), F.round("eval.f1", 6).alias("f1"))
 
 
-@query(f"{WITH_QUESTIONS} SELECT id, array_to_string({views.sql_normal('answer')}, '|') AS answers, len({views.sql_normal('answer')}) AS n FROM questions")
+@query(f"{WITH_QUESTIONS} SELECT id, array_to_string({views.sql_normal('answer')}, '|') AS answers, CAST(len({views.sql_normal('answer')}) AS INTEGER) AS n FROM questions")
 def normalize_answer_sets(t: Tables) -> DataFrame:
     normal = normalize_answers(F.col("answer"))
     return views.questions(t).select("id", F.array_join(normal, "|").alias("answers"), F.size(normal).alias("n"))
@@ -84,7 +84,7 @@ def result_pairs(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {views.SQL_COMPLETIONS}
-    SELECT kind, count(*) AS total, count_if(hit) AS correct, round(count_if(hit) / count(*), 6) AS accuracy
+    SELECT kind, count(*) AS total, count(*) FILTER (WHERE hit) AS correct, round(count(*) FILTER (WHERE hit) / count(*), 6) AS accuracy
     FROM (SELECT left(id, 1) AS kind, {views.sql_fold("raw")} = {views.sql_fold("lower(text)")} AS hit FROM completions) GROUP BY 1"""
 )
 def text_accuracy(t: Tables) -> DataFrame:
@@ -134,7 +134,7 @@ def run_status(t: Tables) -> DataFrame:
       SELECT *, {SQL_CONFIG} AND NOT executed AS run, coalesce(query, '') = '' AS missing FROM results)
     SELECT question_id, method, lang, model, CASE WHEN run THEN NOT missing ELSE success END AS success,
       CASE WHEN run AND missing THEN 'no query to execute' WHEN NOT run THEN error END AS error,
-      CASE WHEN run AND NOT missing THEN coalesce(n, 0) WHEN NOT run THEN len(result) END AS n_answers
+      CAST(CASE WHEN run AND NOT missing THEN coalesce(n, 0) WHEN NOT run THEN len(result) END AS INTEGER) AS n_answers
     FROM after LEFT JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS id, count(DISTINCT p_brand) AS n FROM lines GROUP BY 1) ON id = question_id"""
 )
 def execute_stage_skip(t: Tables) -> DataFrame:
@@ -203,16 +203,16 @@ _TOKENS = ("input_tokens", "output_tokens", "cached_tokens")
 
 
 def _sql_stats(by: str, source: str = "scored") -> str:
-    valid = "count_if(coalesce(success, false))"
+    valid = "count(*) FILTER (WHERE coalesce(success, false))"
 
     def average(total: str, count: str) -> str:
         return f"CASE WHEN {count} > 0 THEN round({total} / {count}, 6) ELSE 0.0 END"
 
-    timed = "count_if(has_stats)"
+    timed = "count(*) FILTER (WHERE has_stats)"
     columns = [
         "count(*) AS count",
-        "count_if(NOT coalesce(success, false)) AS error_count",
-        average("count_if(exact_match = 1.0)", valid) + " AS accuracy",
+        "count(*) FILTER (WHERE NOT coalesce(success, false)) AS error_count",
+        average("count(*) FILTER (WHERE exact_match = 1.0)", valid) + " AS accuracy",
         *[average(f'sum("{s}")', valid) + f" AS avg_{s}" for s in ("f1", "precision", "recall")],
         "round(coalesce(sum(duration), 0), 6) AS total_duration",
         average("sum(duration)", timed) + " AS avg_duration",
@@ -248,7 +248,7 @@ def report_by_config_and_field(t: Tables) -> DataFrame:
     return rounded(report.by_field(_cells(t), FIELDS), *DOUBLES)
 
 
-@query(f"{WITH_RESULTS} SELECT method, lang, model, count_if(executed AND NOT success) AS total_errors FROM results GROUP BY ALL")
+@query(f"{WITH_RESULTS} SELECT method, lang, model, count(*) FILTER (WHERE executed AND NOT success) AS total_errors FROM results GROUP BY ALL")
 def total_errors(t: Tables) -> DataFrame:
     return report.total_errors(report.report_cells(views.results(t), []))
 
@@ -278,11 +278,11 @@ def missing_relations(t: Tables) -> DataFrame:
 
 @query(
     f"""{WITH_SCORED}, {_RELATIONS} SELECT 'orders-' || method || '-' || lang || '-' || model AS run_id, count(*) AS total,
-      round(count_if(exact_match = 1.0) / count_if(success), 6) AS accuracy,
-      count_if(hop = '1') AS hop_1, count_if(tier = 'high') AS tier_high, count_if(NOT success) AS total_errors,
+      round(count(*) FILTER (WHERE exact_match = 1.0) / count(*) FILTER (WHERE success), 6) AS accuracy,
+      count(*) FILTER (WHERE hop = '1') AS hop_1, count(*) FILTER (WHERE tier = 'high') AS tier_high, count(*) FILTER (WHERE NOT success) AS total_errors,
       coalesce((SELECT '["' || array_to_string(list_sort(list(relation)), '","') || '"]' FROM relations r
         WHERE r.method = s.method AND r.lang = s.lang AND r.model = s.model), '[]') AS missing,
-      count_if(NOT success AND error ILIKE '%timeout%') AS timeouts
+      count(*) FILTER (WHERE NOT success AND error ILIKE '%timeout%') AS timeouts
     FROM scored s GROUP BY method, lang, model"""
 )
 def report_json(t: Tables) -> DataFrame:
@@ -338,7 +338,7 @@ def _sql_markdown() -> str:
       UNION ALL SELECT DISTINCT run_id, 4, '', '', '**Error Types:**', 1 FROM errors
       UNION ALL SELECT run_id, 4, '', ' ' || category, '- ' || category || ': ' || n, 1 FROM errors
       UNION ALL SELECT DISTINCT run_id, 4, '', '~', '', 1 FROM errors)
-    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY block, a, b, c) AS place, line FROM line"""
+    SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY block, a, b, c) AS INTEGER) AS place, line FROM line"""
 
 
 @query(_sql_markdown())

@@ -37,7 +37,7 @@ def flat(results: DataFrame) -> DataFrame:
 
 
 SQL_FLAT = f"""SELECT {FLAT}, array_to_string(list_sort(result), '|') AS answers, evaluated,
-  CASE WHEN evaluated THEN 0.5 END AS f1 FROM results"""
+  CASE WHEN evaluated THEN CAST(0.5 AS DOUBLE) END AS f1 FROM results"""
 
 
 def _records(t: Tables) -> DataFrame:
@@ -166,8 +166,8 @@ def results_exist(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""{WITH_RESULTS} SELECT question_id, method, lang, model, query, success, error, coalesce(len(result), -1) AS n_answers,
-      CASE WHEN evaluated THEN 0.5 END AS f1, CASE WHEN evaluated THEN 4 ELSE 0 END AS scores_written,
+    f"""{WITH_RESULTS} SELECT question_id, method, lang, model, query, success, error, CAST(coalesce(len(result), -1) AS INTEGER) AS n_answers,
+      CASE WHEN evaluated THEN CAST(0.5 AS DOUBLE) END AS f1, CASE WHEN evaluated THEN 4 ELSE 0 END AS scores_written,
       CASE WHEN executed THEN 0 ELSE 1 END AS null_exec FROM results"""
 )
 def export_results(t: Tables) -> DataFrame:
@@ -224,9 +224,9 @@ def pending_evaluate(t: Tables) -> DataFrame:
     f"""{WITH_RESULTS}, state AS (
       SELECT r.question_id IS NOT NULL AS has_row, coalesce(executed, false) AS executed, coalesce(evaluated, false) AS evaluated
       FROM questions LEFT JOIN (SELECT * FROM results WHERE {SQL_CONFIG}) r ON question_id = id)
-    SELECT 'generate' AS stage, 0 AS no_upstream, count_if(has_row) AS already_done, count_if(NOT has_row) AS pending FROM state
-    UNION ALL SELECT 'execute', count_if(NOT has_row), count_if(executed), count_if(has_row AND NOT executed) FROM state
-    UNION ALL SELECT 'evaluate', count_if(NOT executed), count_if(evaluated), count_if(executed AND NOT evaluated) FROM state"""
+    SELECT 'generate' AS stage, 0 AS no_upstream, count(*) FILTER (WHERE has_row) AS already_done, count(*) FILTER (WHERE NOT has_row) AS pending FROM state
+    UNION ALL SELECT 'execute', count(*) FILTER (WHERE NOT has_row), count(*) FILTER (WHERE executed), count(*) FILTER (WHERE has_row AND NOT executed) FROM state
+    UNION ALL SELECT 'evaluate', count(*) FILTER (WHERE NOT executed), count(*) FILTER (WHERE evaluated), count(*) FILTER (WHERE executed AND NOT evaluated) FROM state"""
 )
 def skip_counts(t: Tables) -> DataFrame:
     return selection.skip_counts(views.questions(t), views.results(t), *CONFIG)
@@ -272,7 +272,7 @@ def _updates(t: Tables, stage: str) -> DataFrame:
 _UPDATED = f"""updated AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS question_id, 'llm' AS method, 'cypher' AS lang, 'gpt-4o' AS model
   FROM orders WHERE o_orderstatus = 'F'),
-state AS (SELECT r.*, array_to_string(list_sort(result), '|') AS answers, CASE WHEN evaluated THEN 0.5 END AS f1,
+state AS (SELECT r.*, array_to_string(list_sort(result), '|') AS answers, CASE WHEN evaluated THEN CAST(0.5 AS DOUBLE) END AS f1,
   {SQL_CONFIG} AND question_id IN (SELECT question_id FROM updated) AS hit FROM results r)"""
 _NULLED = {
     "query": "CAST(NULL AS VARCHAR)",
@@ -322,13 +322,13 @@ def save_execution(t: Tables) -> DataFrame:
     return flat(staging.save_execution(views.results(t), _updates(t, "exec"), order="seq"))
 
 
-@query(f"""{WITH_RESULTS}, {_UPDATED} SELECT {_changed(evaluated="true", f1="2.0")} FROM state""")
+@query(f"""{WITH_RESULTS}, {_UPDATED} SELECT {_changed(evaluated="true", f1="CAST(2.0 AS DOUBLE)")} FROM state""")
 def save_evaluation(t: Tables) -> DataFrame:
     return flat(staging.save_evaluation(views.results(t), _updates(t, "eval"), order="seq"))
 
 
 _CONFIG_STATE = f"""state AS (SELECT r.*, array_to_string(list_sort(result), '|') AS answers,
-  CASE WHEN evaluated THEN 0.5 END AS f1, {SQL_CONFIG} AS hit FROM results r)"""
+  CASE WHEN evaluated THEN CAST(0.5 AS DOUBLE) END AS f1, {SQL_CONFIG} AS hit FROM results r)"""
 
 
 @query(f"""{WITH_RESULTS}, {_CONFIG_STATE} SELECT {_changed(**_nulls("gen", "exec", "eval"))} FROM state""")

@@ -69,7 +69,7 @@ def render_prompt(t: Tables) -> DataFrame:
 
 @query(
     """SELECT conv_id, turn, json_extract_string(j, '$[0].role') AS role, json_extract_string(j, '$[0].content') AS content,
-      json_array_length(j) AS n FROM (SELECT conv_id, turn, to_json([{'role': role, 'content': text}]) AS j FROM conversations)"""
+      CAST(json_array_length(j) AS INTEGER) AS n FROM (SELECT conv_id, turn, to_json([{'role': role, 'content': text}]) AS j FROM conversations)"""
 )
 def chat_messages(t: Tables) -> DataFrame:
     """Each turn as the message list of a request, read back from its JSON."""

@@ -71,14 +71,14 @@ def build_vocabulary(t: Tables) -> DataFrame:
     return vocabulary.build_vocabulary(_tokens(t))
 
 
-@query(f"{WITH_TOKENS}, words AS (SELECT unnest(source) AS token FROM tokens) SELECT length(token) AS n, max(token) AS token FROM words GROUP BY 1")
+@query(f"{WITH_TOKENS}, words AS (SELECT unnest(source) AS token FROM tokens) SELECT CAST(length(token) AS INTEGER) AS n, max(token) AS token FROM words GROUP BY 1")
 def invert_vocabulary(t: Tables) -> DataFrame:
     """Words by length: many words per length, of which the last one stays."""
     words = views.examples(t).select(F.explode(vocabulary.tokenize(F.col("input"))).alias("token"))
     return vocabulary.invert(words.withColumn("n", F.length("token")), "token", "n")
 
 
-@query(f"{WITH_TOKENS} SELECT split, max(greatest(len(source), len(target))) + 2 AS max_length FROM tokens GROUP BY split")
+@query(f"{WITH_TOKENS} SELECT split, CAST(max(greatest(len(source), len(target))) + 2 AS INTEGER) AS max_length FROM tokens GROUP BY split")
 def split_lengths(t: Tables) -> DataFrame:
     return encode.split_lengths(views.examples(t))
 
@@ -119,7 +119,7 @@ def decoder_labels(t: Tables) -> DataFrame:
     """WITH answers AS (SELECT DISTINCT unnest([lang, source]) AS token FROM documents),
     vocabulary AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM answers)
     SELECT doc_id AS example_id, CASE WHEN l.quality IS NULL THEN '0' ELSE a.idx || ' 0 ' || b.idx END AS choices,
-      CASE WHEN l.quality IS NULL THEN 0 ELSE a.idx END AS answer
+      CAST(CASE WHEN l.quality IS NULL THEN 0 ELSE a.idx END AS INTEGER) AS answer
     FROM documents d LEFT JOIN labels l USING (doc_id) JOIN vocabulary a ON a.token = d.lang JOIN vocabulary b ON b.token = d.source"""
 )
 def encode_choices(t: Tables) -> DataFrame:

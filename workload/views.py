@@ -166,7 +166,7 @@ sets AS (
   FROM results r JOIN questions q ON q.id = r.question_id),
 hits AS (SELECT *, len(list_intersect(gold, pred)) AS tp FROM sets),
 scored AS (
-  SELECT *, CASE WHEN success THEN CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END END AS exact_match,
+  SELECT *, CASE WHEN success THEN CAST(gold = pred AS DOUBLE) END AS exact_match,
          CASE WHEN success THEN CASE WHEN len(pred) = 0 THEN 0.0 ELSE tp / len(pred) END END AS "precision",
          CASE WHEN success THEN CASE WHEN len(gold) = 0 THEN 0.0 ELSE tp / len(gold) END END AS recall,
          CASE WHEN success THEN CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (len(gold) + len(pred)) END END AS f1
