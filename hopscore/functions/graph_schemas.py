@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hopscore.functions.text import capitalize, python_quoted
+from hopscore.functions.text import capitalize, once, python_quoted
 
 PROPERTIES = "array<struct<name string, data_type string>>"
 _NODE = "array<struct<label string, properties string>>"
@@ -49,8 +49,10 @@ def _properties(raw: Column) -> Column:
 def parse_property_graph(text: Column) -> Column:
     """``struct<name, extra, nodes, edges>`` of a JSON schema. ``entities`` and ``relations`` stand in for missing or
     empty ``nodes`` and ``edges``, ``subj_label`` and ``obj_label`` for the ends of an edge."""
-    raw = F.from_json(text, PROPERTY_GRAPH_JSON)
+    return once(F.from_json(text, PROPERTY_GRAPH_JSON), _property_graph)
 
+
+def _property_graph(raw: Column) -> Column:
     def end(edge: Column, name: str, other: str) -> Column:
         return _required(F.coalesce(F.nullif(edge[name], F.lit("")), edge[other]), f"an edge's {name}")
 
@@ -83,7 +85,10 @@ def parse_property_graph(text: Column) -> Column:
 def parse_rdf_schema(text: Column) -> Column:
     """``struct<name, extra, prefixes, classes, properties>`` of a JSON schema; properties are the object properties,
     then the datatype properties, then the ones that say themselves which they are."""
-    raw = F.from_json(text, RDF_JSON)
+    return once(F.from_json(text, RDF_JSON), _rdf_schema)
+
+
+def _rdf_schema(raw: Column) -> Column:
     none = F.array().cast("array<string>")
 
     def properties(items: Column, kind: bool | None) -> Column:
@@ -210,7 +215,7 @@ def rdf_schema_text(schema: Column) -> Column:
 
 def schema_text(text: Column, lang: str) -> Column:
     """Prompt text straight from the JSON form."""
-    parsed = parse_schema(text, lang)
     if lang == "sparql":
-        return rdf_schema_text(parsed)
-    return property_graph_text(parsed, "gremlin" if lang == "gremlin" else "cypher")
+        return once(parse_schema(text, lang), rdf_schema_text)
+    layout = "gremlin" if lang == "gremlin" else "cypher"
+    return once(parse_schema(text, lang), lambda schema: property_graph_text(schema, layout))

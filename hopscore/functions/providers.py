@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hopscore.functions.text import once
+
 # Model name prefixes and the provider behind each.
 PROVIDER_PREFIXES = (("gpt", "openai"), ("deepseek", "deepseek"))
 
@@ -29,8 +31,6 @@ def provider_of_model(model: Column) -> Column:
 
 def parse_response(provider: Column, payload: Column) -> Column:
     """``struct<content, input_tokens, output_tokens, cached_tokens>`` of a logged response, NULL for other providers."""
-    openai = F.from_json(payload, OPENAI_PAYLOAD)
-    deepseek = F.from_json(payload, DEEPSEEK_PAYLOAD)
 
     def fields(content: Column, sent: Column, received: Column, cached: Column) -> Column:
         return F.struct(
@@ -40,20 +40,16 @@ def parse_response(provider: Column, payload: Column) -> Column:
             F.coalesce(cached, F.lit(0).cast("bigint")).alias("cached_tokens"),
         )
 
-    return F.when(
-        provider == "openai",
-        fields(
-            openai["output_text"],
-            openai["usage"]["input_tokens"],
-            openai["usage"]["output_tokens"],
-            openai["usage"]["input_tokens_details"]["cached_tokens"],
-        ),
-    ).when(
-        provider == "deepseek",
-        fields(
-            F.try_element_at(deepseek["choices"], F.lit(1))["message"]["content"],
-            deepseek["usage"]["prompt_tokens"],
-            deepseek["usage"]["completion_tokens"],
-            deepseek["usage"]["prompt_cache_hit_tokens"],
-        ),
+    def openai(r: Column) -> Column:
+        usage = r["usage"]
+        cached = usage["input_tokens_details"]["cached_tokens"]
+        return fields(r["output_text"], usage["input_tokens"], usage["output_tokens"], cached)
+
+    def deepseek(r: Column) -> Column:
+        usage, first = r["usage"], F.get(r["choices"], F.lit(0))
+        cached = usage["prompt_cache_hit_tokens"]
+        return fields(first["message"]["content"], usage["prompt_tokens"], usage["completion_tokens"], cached)
+
+    return F.when(provider == "openai", once(F.from_json(payload, OPENAI_PAYLOAD), openai)).when(
+        provider == "deepseek", once(F.from_json(payload, DEEPSEEK_PAYLOAD), deepseek)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ INLINE_CODE = "`([^`]+)`"
 UPPER_RELATION = rf":[{SPACE_CLASS}]*([A-Z_]+)(?=[{SPACE_CLASS}]*[\]\{{])"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once per row, however often it is used: it becomes the variable of a
+    lambda. For values that are dear to make, such as parsed JSON."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove white space at both ends; Spark's plain ``trim`` removes blanks only."""
     return F.btrim(text, F.lit(SPACES))

@@ -21,7 +21,15 @@ from hopscore.operators.report import (
 from hopscore.operators.scoring import pair_results
 from hopscore.session import cut_lineage
 
-MAX_VALUES = 10_000  # values per field that fit in one JSON document
+MAX_VALUES = 10_000  # values of a field, or missing relations, that fit in one JSON document
+
+
+def _bounded(table: DataFrame, *keys: str) -> DataFrame:
+    """The table, or an error if a group has too many rows for one document; counted before anything is gathered."""
+    too_many = F.raise_error(F.lit(f"more than {MAX_VALUES} entries for one JSON document; use the tables of the report"))
+    sizes = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    fits = sizes.filter(F.when(F.col("_n") > MAX_VALUES, too_many.cast("boolean")).otherwise(F.lit(True)))
+    return table.join(fits.select(*keys), list(keys), "left_semi")
 
 
 class Report:
@@ -48,16 +56,11 @@ class Report:
     def json(self) -> DataFrame:
         """``run_id, json``: one document per configuration. Lists are in text order."""
         stats = F.struct(*STATS)
-        fits = F.count(F.lit(1)) <= MAX_VALUES
-        too_many = F.raise_error(F.lit(f"a report field has more than {MAX_VALUES} values; use the by_field table"))
-        checked = self.by_field.join(
-            self.by_field.groupBy("run_id", "field").agg(fits.alias("fits")), ["run_id", "field"]
-        ).filter(F.when(F.col("fits"), F.lit(True)).otherwise(too_many.cast("boolean")))
 
         def entries(key: str, value: Column) -> Column:
             return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value.alias("v")))))
 
-        values = checked.groupBy("run_id", "field").agg(entries("value", stats).alias("values"))
+        values = _bounded(self.by_field, "run_id", "field").groupBy("run_id", "field").agg(entries("value", stats).alias("values"))
         empty = F.create_map().cast(values.schema["values"].dataType)
         named = [F.any_value(F.when(F.col("field") == f, F.col("values")), ignoreNulls=True).alias(f) for f in self.fields]
         fields = values.groupBy("run_id").agg(*named) if self.fields else self.summary.select("run_id")
@@ -65,7 +68,7 @@ class Report:
         document = F.struct(*members) if members else empty
         fields = fields.select("run_id", document.alias("by_field"))
         types = self.error_types.groupBy("run_id").agg(entries("category", F.col("n")).alias("error_types"))
-        missing = self.missing_relations.groupBy("run_id").agg(F.array_sort(F.collect_set("relation")).alias("missing_relations"))
+        missing = _bounded(self.missing_relations, "run_id").groupBy("run_id").agg(F.array_sort(F.collect_set("relation")).alias("missing_relations"))
         whole = self.summary.select("run_id", F.col("count").alias("total"), stats.alias("summary"))
         for part in (fields, self.total_errors, missing, types):
             whole = whole.join(part, "run_id", "left")
@@ -75,7 +78,9 @@ class Report:
             F.coalesce("missing_relations", none).alias("missing_relations"),
             F.coalesce("error_types", F.create_map().cast("map<string,bigint>")).alias("error_types"),
         )
-        return whole.select("run_id", F.to_json(F.struct("run_id", "total", "summary", "by_field", errors.alias("errors"))).alias("json"))
+        metadata = F.create_map().cast("map<string,string>").alias("metadata")
+        document = F.struct("run_id", "total", "summary", "by_field", errors.alias("errors"), metadata)
+        return whole.select("run_id", F.to_json(document).alias("json"))
 
     def markdown(self) -> DataFrame:
         """``run_id, section, item, value, part, line``: sort by these columns to read a report from top to bottom."""

@@ -19,16 +19,25 @@ def parse_questions(records: DataFrame, text: str = "value", order: str | None =
 
     Fields besides the core ones go to ``extra``, which is NULL if there are none. A record without an id is an error.
     """
-    core = F.from_json(F.col(text), "id string, question string, answer string")
-    rest = F.map_filter(F.from_json(F.col(text), "map<string,string>"), lambda name, _: ~name.isin(*CORE))
-    columns = [
-        F.coalesce(core["id"], F.raise_error(F.concat(F.lit("record without id: "), F.col(text)))).alias("id"),
-        core["question"].alias("question"),
-        answers_from_json(core["answer"]).alias("answer"),
-        core["answer"].alias("answer_json"),
-        F.when(F.size(rest) > 0, rest).alias("extra"),
-    ]
-    return records.select(*columns, *([order] if order else []))
+    kept = [order] if order else []
+    parsed = records.select(F.col(text).alias("_text"), F.from_json(text, "map<string,string>").alias("_fields"), *kept)
+
+    def core(name: str) -> Column:
+        return F.try_element_at(F.col("_fields"), F.lit(name))
+
+    no_id = F.raise_error(F.concat(F.lit("record without id: "), F.col("_text")))
+    rest = F.map_filter("_fields", lambda name, _: ~name.isin(*CORE))
+    split = parsed.select(
+        F.coalesce(core("id"), no_id).alias("id"), core("question").alias("question"), core("answer").alias("answer_json"), rest.alias("_rest"), *kept
+    )
+    return split.select(
+        "id",
+        "question",
+        answers_from_json(F.col("answer_json")).alias("answer"),
+        "answer_json",
+        F.when(F.size("_rest") > 0, F.col("_rest")).alias("extra"),
+        *kept,
+    )
 
 
 def latest_questions(questions: DataFrame, order: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hopscore.model import STATS_TYPE
@@ -149,9 +150,16 @@ def test_json(golden, spark, tmp_path):
     assert (document["run_id"], document["total"]) == ("movies-llm-cypher-gpt-4o", 4)
     assert document["summary"]["accuracy"] == pytest.approx(2 / 3)
     assert document["by_field"]["hop"]["2"]["error_count"] == 1 and document["by_field"]["absent"] == {}
+    assert list(document) == ["run_id", "total", "summary", "by_field", "errors", "metadata"]
     assert document["errors"] == {"total_errors": 1, "missing_relations": ["DIRECTED_BY"], "error_types": {"missing_relationship": 1}}
 
 
+def test_json_refuses_to_gather_too_much(golden, monkeypatch):
+    monkeypatch.setattr(report_text, "MAX_VALUES", 1)
+    with pytest.raises(PySparkException):
+        report_text.Report(*golden, "movies", ["hop"]).json().collect()
+
+
 def test_report_on_nothing_is_an_error(make_results, make_questions, tmp_path):
     table = report_text.Report(make_results(), make_questions(("q", [], None)), "d", ["hop"])
     for write in (report_text.write_json, report_text.write_markdown):
