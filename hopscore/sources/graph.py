@@ -15,13 +15,16 @@ BLANKS = " \t\r\n\f\x0b"  # what may stand between the terms of a line
 def edges_from(relations: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
     """``edges(src, rel, dst)`` from tables: each item names a relation, its table, and both ends as columns.
 
-    The relation is a literal per branch, so a filter on ``rel`` drops the tables it does not need from the plan.
+    An edge comes once per item, however many rows stand for it, so that a pair repeated in most rows of a table does
+    not multiply in the joins. The relation is a literal per branch, so a filter on ``rel`` drops the tables it does
+    not need from the plan.
     """
-    parts = [
-        table.select(src.cast("string").alias("src"), F.lit(rel).alias("rel"), dst.cast("string").alias("dst"))
-        for rel, table, src, dst in relations
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+    def part(rel: str, table: DataFrame, src: Column, dst: Column) -> DataFrame:
+        pairs = table.select(src.cast("string").alias("src"), dst.cast("string").alias("dst")).distinct()
+        return pairs.select("src", F.lit(rel).alias("rel"), "dst")
+
+    return reduce(DataFrame.unionByName, [part(*relation) for relation in relations])
 
 
 def parse_triples(lines: DataFrame, text: str = "value") -> DataFrame:

@@ -185,7 +185,7 @@ edges AS (
 
 
 def edges(t: Tables) -> DataFrame:
-    """The star schema as a graph. Repeated edges are left in: every operator over them is set-valued."""
+    """The star schema as a graph."""
 
     def node(kind: str, key: str) -> Column:
         return F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
