@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,10 @@ IGNORED = -100  # Fixed value: the label a loss function leaves out.
 ANSWER_DEFAULT = 0  # Fixed value: the id of an unknown or absent choice or answer.
 
 
-def split_lengths(examples: DataFrame) -> DataFrame:
+def split_lengths(examples: DataFrame, special_tokens: Sequence[str] = ()) -> DataFrame:
     """``split, max_length``: the longest input or target of each split, with its start and end marks. The splits are
     the three known ones, so this is at most three rows; any other name is an error."""
-    longest = F.greatest(F.size(tokenize(F.col("input"))), F.size(tokenize(F.col("target"))))
+    longest = F.greatest(*[F.size(tokenize(F.col(c), special_tokens)) for c in ("input", "target")])
     unknown = F.raise_error(F.concat(F.lit("unknown split: "), F.coalesce("split", F.lit("NULL"))))
     split = F.when(F.col("split").isin(*SPLITS), F.col("split")).otherwise(unknown).alias("split")
     lengths = examples.groupBy(split).agg((F.max(longest) + 2).alias("max_length"))
@@ -42,13 +44,11 @@ def _items(**fields: Column) -> Column:
     return F.concat(*[tagged(field, tokens) for field, tokens in fields.items()])
 
 
-def encode_ids(examples: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def encode_ids(examples: DataFrame, vocabulary: DataFrame, special_tokens: Sequence[str] = ()) -> DataFrame:
     """``split, example_id, source_ids, target_ids`` without padding, each between start and end marks."""
     keys = ["split", "example_id"]
-    items = examples.select(
-        *keys,
-        F.inline_outer(_items(source=tokenize(F.col("input")), target=tokenize(F.col("target")))),
-    )
+    source, target = (tokenize(F.col(c), special_tokens) for c in ("input", "target"))
+    items = examples.select(*keys, F.inline_outer(_items(source=source, target=target)))
     gathered = _gather(look_up(items, vocabulary, UNKNOWN), keys, "source", "target")
     marks = F.array(F.lit(START)), F.array(F.lit(END))
     return gathered.select(
@@ -69,9 +69,10 @@ def mask(ids: Column, length: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), length - kept))
 
 
-def encode_examples(examples: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def encode_examples(examples: DataFrame, vocabulary: DataFrame, special_tokens: Sequence[str] = ()) -> DataFrame:
     """``split, example_id, source_ids, source_mask, target_ids``, padded to the longest sequence of the split."""
-    padded = encode_ids(examples, vocabulary).join(F.broadcast(split_lengths(examples)), "split")
+    lengths = F.broadcast(split_lengths(examples, special_tokens))
+    padded = encode_ids(examples, vocabulary, special_tokens).join(lengths, "split")
     length = F.col("max_length")
     return padded.select(
         "split",

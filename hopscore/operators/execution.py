@@ -60,6 +60,13 @@ def collect_answers(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "row_idx", answer_of_cells(F.col("cells")).alias("answer"))
 
 
+def row_counts(queries: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, row_count, is_empty`` for every query, also for one without rows."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
+    joined = queries.select(*keys).join(counts, list(keys), "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+    return joined.withColumn("is_empty", F.col("row_count") == 0)
+
+
 def pack_answers(answers: DataFrame, keys: list[str], max_items: int = 100_000) -> DataFrame:
     """``keys, result ARRAY``, in row order. A longer list than ``max_items`` is an error, found by counting before
     anything is gathered: score such results in row form (``score_answer_rows``), which has no limit."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,11 @@ TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^{SPACE_CLASS}\p{{L}}\p{{M}}\p{{N}}_]"
 HEAD = 50_000  # vocabulary entries that may be broadcast: the most frequent ones
 
 
-def tokenize(text: Column) -> Column:
-    """Lower-case words and marks of the whole text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def tokenize(text: Column, special_tokens: Sequence[str] = ()) -> Column:
+    """Lower-case words and marks of the whole text. The special tokens of a dataset stay in one piece."""
+    whole = sorted({token.lower() for token in special_tokens}, key=len, reverse=True)
+    pattern = "|".join([rf"\Q{token}\E" for token in whole] + [TOKEN])
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
 def number_rows(rows: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
@@ -40,13 +44,15 @@ def number_rows(rows: DataFrame, order: list[Column], name: str, start: int = 0)
     return placed.select(*rows.columns, number.alias(name))
 
 
-def build_vocabulary(tokens: DataFrame) -> DataFrame:
-    """``token, idx`` from rows of ``tokens ARRAY``: the special tokens, then all tokens by falling frequency."""
+def build_vocabulary(tokens: DataFrame, special_tokens: Sequence[str] = ()) -> DataFrame:
+    """``token, idx`` from rows of ``tokens ARRAY``: the fixed special tokens and those of the dataset, then all other
+    tokens by falling frequency."""
+    given = list(dict.fromkeys([*SPECIALS, *[token.lower() for token in special_tokens]]))
     counts = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.filter(~F.col("token").isin(*SPECIALS))
-    ranked = number_rows(counts, [F.desc("n"), F.asc("token")], "idx", start=len(SPECIALS))
-    specials = tokens.sparkSession.createDataFrame(list(SPECIALS.items()), "token string, idx long")
-    return specials.unionByName(ranked.select("token", "idx"))
+    counts = counts.filter(~F.col("token").isin(given))
+    ranked = number_rows(counts, [F.desc("n"), F.asc("token")], "idx", start=len(given))
+    first = tokens.sparkSession.createDataFrame([(token, idx) for idx, token in enumerate(given)], "token string, idx long")
+    return first.unionByName(ranked.select("token", "idx"))
 
 
 def build_answer_vocabulary(answers: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, 4, **{"spark.ui.showConsoleProgress": "false"})
+    return local_session(8, 2, **{"spark.ui.showConsoleProgress": "false"})
 
 
 @pytest.fixture(scope="session")

@@ -15,6 +15,7 @@ from hopscore.operators.execution import (
     first_row_columns,
     json_cell,
     pack_answers,
+    row_counts,
     row_values,
     wrap_scalars,
 )
@@ -101,6 +102,7 @@ def test_a_hub_is_walked_on_once(spark, monkeypatch):
 
 def test_hot_node_is_split_by_adaptive_execution(spark):
     settings_ = {
+        "spark.sql.shuffle.partitions": "8",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "30000",
@@ -223,6 +225,8 @@ def test_collect_and_pack(spark):
     assert packed == {"q1": ["Alice", "Bob"], "q2": [None]}
     packed = {r.question_id: r.result for r in pack_answers(collect_answers(two, "question_id"), ["question_id"]).collect()}
     assert packed == {"q1": ['["Alice",30]', '["Bob",25]'], "q2": ["[null,1]"]}
+    asked = spark.createDataFrame([("q1",), ("q3",)], "question_id string")
+    assert {tuple(r) for r in row_counts(asked, one, "question_id").collect()} == {("q1", 2, False), ("q3", 0, True)}
     with pytest.raises(PySparkException):
         pack_answers(collect_answers(one, "question_id"), ["question_id"], max_items=1).collect()
 

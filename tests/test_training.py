@@ -52,6 +52,17 @@ def test_vocabulary_numbers_by_frequency(spark):
     assert {r.token: r.idx for r in built.collect()} == {"<PAD>": 0, "<UNK>": 1, "<START>": 2, "<END>": 3} | {t: i for i, t in enumerate(ranked, 4)}
 
 
+def test_special_tokens_stay_whole(spark):
+    special = ["<E>", "</E>", "has part"]
+    frame = spark.createDataFrame([("train", 1, "a <E> b </e>", "x HAS PART <")], "split string, example_id long, input string, target string")
+    cut = vocabulary.tokenize(F.col("input"), special)
+    assert frame.select(cut).first()[0] == ["a", "<e>", "b", "</e>"]
+    words = vocabulary.build_vocabulary(frame.select(cut.alias("tokens")), special)
+    assert {r.token: r.idx for r in words.collect()} == {"<PAD>": 0, "<UNK>": 1, "<START>": 2, "<END>": 3, "<e>": 4, "</e>": 5, "has part": 6, "a": 7, "b": 8}
+    row = encode.encode_examples(frame, words, special).first()
+    assert (row.source_ids, row.target_ids) == ([2, 7, 4, 8, 5, 3], [2, 1, 6, 1, 3, 0])
+
+
 def test_number_rows_over_many_partitions(spark):
     rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("x"))
     numbered = vocabulary.number_rows(rows, [F.desc("x")], "n", start=10)

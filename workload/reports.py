@@ -116,6 +116,14 @@ def collect_answers(t: Tables) -> DataFrame:
     return execution.collect_answers(_answer_rows(t), "question_id")
 
 
+@query(
+    f"""{WITH_RESULTS} SELECT question_id, coalesce(n_lines, 0) AS row_count, n_lines IS NULL AS is_empty
+    FROM results LEFT JOIN found ON CAST(l_orderkey AS VARCHAR) = question_id"""
+)
+def row_counts(t: Tables) -> DataFrame:
+    return execution.row_counts(views.results(t), _answer_rows(t), "question_id")
+
+
 @query(
     f"""{WITH_RESULTS} SELECT question_id, coalesce(query, '') <> '' AND error IS NULL AS success,
       CASE WHEN coalesce(query, '') = '' THEN 'no query to execute' ELSE error END AS error,
