@@ -74,16 +74,17 @@ PATH = st.lists(st.tuples(st.sampled_from("RS"), st.booleans()), max_size=4)
     st.lists(st.tuples(NODES, PATH), min_size=1, max_size=20),
     st.sampled_from([1, 4]),
     st.sampled_from([0, 10_000]),
+    st.sampled_from([0, 1 << 20]),
 )
-def test_hops_like_brute_force(spark, edges, asked, crowd, small):
-    """With and without shared walks, with and without relations pushed into the scans."""
+def test_hops_like_brute_force(spark, edges, asked, crowd, small, few):
+    """With and without shared walks, relations pushed into the scans, and broadcast walkers."""
     queries = [(f"q{i}", seed, path) for i, (seed, path) in enumerate(asked)]
-    before = hops.CROWD, hops.SMALL
-    hops.CROWD, hops.SMALL = crowd, small
+    before = hops.CROWD, hops.SMALL, hops.FEW_BYTES
+    hops.CROWD, hops.SMALL, hops.FEW_BYTES = crowd, small, few
     try:
         assert answers(spark, edges, queries) == expected(edges, queries)
     finally:
-        hops.CROWD, hops.SMALL = before
+        hops.CROWD, hops.SMALL, hops.FEW_BYTES = before
 
 
 def test_a_hub_is_walked_on_once(spark, monkeypatch):
