@@ -38,9 +38,7 @@ def parse_triples(lines: DataFrame, text: str = "value") -> DataFrame:
     parsed = heads.select("line", "s", "p", value.alias("o"))
     bad = F.raise_error(F.concat(F.lit("not a triple: "), "line"))
     whole = (F.col("s") != "") & (F.col("p") != "") & (F.col("o") != "")
-    return parsed.select(
-        F.ltrim("s", F.lit(BLANKS)).alias("s"), F.ltrim("p", F.lit(BLANKS)).alias("p"), F.when(whole, F.col("o")).otherwise(bad).alias("o")
-    )
+    return parsed.select(*[F.when(whole, F.ltrim(c, F.lit(BLANKS))).otherwise(bad).alias(c) for c in ("s", "p", "o")])
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
