@@ -11,6 +11,8 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 import __spark_entry__ as contract  # noqa: E402
 import check  # noqa: E402
 
+from workload import QUERIES  # noqa: E402
+
 DATA = "/root/testdata/sf0.001"
 PYTHON = {"predict", "generate_stage_skip", "translate_fallback"}
 
@@ -21,14 +23,15 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(contract.oracle_sql()) >= set(QUERIES)
+    assert set(contract.queries()) >= set(contract.oracle_sql())
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     frame = contract.queries()[name](spark, DATA)
     got = frame.toPandas()
