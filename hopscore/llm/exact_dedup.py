@@ -6,8 +6,8 @@ null id loses against any other; a group with null ids only keeps them. Other co
 
 The index has one entry for each distinct text, under the 64-bit hash of its bytes. A bucket is a prefix of that hash; while a
 bucket has more entries than ``capacity`` the directory doubles for it, that is, its prefix grows by one bit. Files are written by
-ranges of the hash, one owner task for each. Entries of equal hash are chained in their bucket: texts whose hash occurs
-in more than one row are compared byte by byte, as keys of an aggregation that merges equal ones before the shuffle.
+ranges of the hash, one owner task for each. Entries of equal hash are chained in their bucket. Texts are compared byte by
+byte, as keys of an aggregation that merges equal ones before the shuffle.
 """
 
 from __future__ import annotations
@@ -58,22 +58,14 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, hashed: Callable[[Col
     with another text; they carry their ``text``, which is null elsewhere.
     """
     rows = _rows(docs, hashed)
-    counted = saved(
-        rows.groupBy("key", "digest").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")), "index-entries"
-    )
-    repeated = counted.where("group_size > 1").select("key", "digest")
-    compared = saved(
-        rows.join(repeated, ["key", "digest"], "left_semi")
-        .groupBy("key", "digest", "text")
-        .agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")),
-        "index-chains",
-    )
+    merged = rows.groupBy("key", "digest", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    compared = saved(merged.drop("text"), "index-entries")  # equal texts are merged in each task, before the shuffle
     clashing = compared.groupBy("key", "digest").agg(F.count("*").alias("texts")).where("texts > 1").select("key", "digest")
     clashing = saved(clashing, "index-clashes")
-    entries = counted.join(clashing, ["key", "digest"], "left_anti").withColumn("text", F.lit(None).cast("string"))
+    entries = compared.withColumn("text", F.lit(None).cast("string"))
     if not clashing.isEmpty():
-        chained = compared.join(clashing, ["key", "digest"], "left_semi").withColumn("digest", F.lit(None).cast("binary"))
-        entries = entries.unionByName(chained)
+        chained = merged.join(clashing, ["key", "digest"], "left_semi").withColumn("digest", F.lit(None).cast("binary"))
+        entries = entries.join(clashing, ["key", "digest"], "left_anti").unionByName(chained)
     directory = _split_buckets(entries, capacity)
     depths = [row.depth for row in directory.select("depth").distinct().collect()]  # at most one row per bit
     placed = None
@@ -91,7 +83,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, hashed: Callable[[Col
     columns = ["depth", "slot", "key", "chain", "digest", "text", "keep_id", "group_size"]
     index = alone.select(columns).unionByName(together.select(columns))
     index = saved(index.repartitionByRange("key", "chain").sortWithinPartitions("key", "chain"), "index")
-    discard(counted, compared, clashing, directory)
+    discard(compared, clashing, directory)
     return index
 
 
