@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-ENTRIES = 250_000  # pieces in each of the two generations that a worker remembers
+ENTRIES = 600_000  # pieces in each of the two generations that a worker remembers
 PIECE = 64  # longer pieces are not remembered
 
 # White space by Unicode or by Python other than space and line feed, and the mark of a text's first piece.
@@ -55,7 +56,7 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32).tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _encode_new(self, new: set[str]) -> dict[str, bytes]:
         """Ids of pieces by name. A stop or comma after a letter is always a token's start, so that words share one entry."""
