@@ -157,11 +157,10 @@ def _candidates(points: DataFrame, threshold: float, recall: float) -> DataFrame
         compared = saved(compared, "path-compared")
         found.append(compared.where((F.col("near") >= NEAR) & (F.col("digest") != F.col("pivot"))).select("pivot", "digest"))
         between = compared.where((F.col("near") >= FAR) & (F.col("near") < NEAR)).select("path").distinct()
-        between = saved(between.withColumn("open", F.lit(True)), "path-open")
         # those near the pivot meet again only where others lie between; those very near cannot be linked with such
-        again = compared.join(between, "path", "left").where(
-            (F.col("near") < NEAR) | (F.col("open") & (F.col("near") <= 1 - (1 - NEAR - (1 - threshold)) + 0.15))
-        )
+        near = F.col("near") <= 1 - (1 - NEAR - (1 - threshold)) + 0.15
+        once_more = compared.where((F.col("near") >= NEAR) & near).join(saved(between, "path-open"), "path", "left_semi")
+        again = compared.where(F.col("near") < NEAR).unionByName(once_more)
         level = saved(again.mapInPandas(split, "path long, digest string"), f"path-{depth + 1}")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")

@@ -27,7 +27,7 @@ from hopscore.llm.storage import saved
 from hopscore.llm.words import in_parts
 
 SAMPLE = 6_000  # rows the text model is fitted on, at most
-LEAST_ROWS = 10  # of a language in the sample
+LEAST_SHARE = 0.001  # of the sample that a language must have
 FEATURES = 1 << 14
 TEMPER, FULL = 0.25, 200.0  # weight of a trigram, and the number of them that counts in full
 SMOOTH = 20.0  # rows that a host's own counts must outweigh
@@ -136,8 +136,8 @@ def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
         .groupBy("language", "feature")
         .agg(F.sum("n").alias("n"))
     )
-    rows_of = chosen.groupBy("declared").count().where(F.col("count") >= min(LEAST_ROWS, max(1, sample // 100)))
-    languages = sorted(row[0] for row in rows_of.collect())  # at most sample / LEAST_ROWS
+    named_rows = dict(chosen.groupBy("declared").count().collect())  # at most 1 / LEAST_SHARE languages are kept
+    languages = sorted(k for k, n in named_rows.items() if n >= LEAST_SHARE * sum(named_rows.values()))
     counts = np.zeros((FEATURES, len(languages)))
     for language, feature, n in summed.where(F.col("language").isin(languages)).toPandas().itertuples(index=False):
         counts[feature, languages.index(language)] = n

@@ -158,7 +158,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without files
+            return
         types = [pa.binary() if name == "payload" else pa.string() for name in self.names]
         system, path = file_system(partition.path)
 
