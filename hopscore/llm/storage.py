@@ -32,7 +32,8 @@ def discard(*frames: DataFrame) -> None:
     for frame in frames:
         for folder in {path.rpartition("/")[0] for path in frame.inputFiles()}:
             system, path = fs.FileSystem.from_uri(folder)
-            system.delete_dir(path)
+            if system.get_file_info(path).type == fs.FileType.Directory:
+                system.delete_dir(path)
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
