@@ -31,13 +31,16 @@ def generate_stage(
     schemas: DataFrame | None = None,
     if_exists: str = "skip",
     workers: int | None = None,
+    extract: bool | None = None,
 ) -> DataFrame:
     """Prompt the model with every pending question and store what it wrote. ``questions`` may have a ``dataset``
-    column and ``schemas`` the schema texts by dataset and language; without them the prompt is the question."""
+    column and ``schemas`` the schema texts by dataset and language; without them the prompt is the question.
+    ``extract`` takes the query out of the completion; if it is not given, for ``llm`` only."""
     pending = _keyed(pending_generate(questions, results, method, lang, model, if_exists), method, lang, model)
     pending = with_schema(pending, schemas) if schemas is not None else pending.withColumn("schema_text", F.lit(None).cast("string"))
     prompts = pending.select(*KEY, prompt(F.col("lang"), F.col("question"), F.col("schema_text")).alias("prompt"))
-    written = predict(prompts, load, KEY, workers).select(*KEY, generation_of(F.col("content"), F.col("stats")).alias("gen"))
+    query = generation_of(F.col("content"), F.col("stats"), method == "llm" if extract is None else extract)
+    written = predict(prompts, load, KEY, workers).select(*KEY, query.alias("gen"))
     return save_generation(results, written)
 
 

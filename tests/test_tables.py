@@ -196,6 +196,18 @@ def test_check_rows(spark):
     assert selection.check_rows(rows.limit(1), strict=True).count() == 1
 
 
+def test_seq2seq_output_is_kept_as_written(make_questions, make_results):
+    def tick():
+        import pandas as pd
+
+        return lambda batch: pd.DataFrame({"content": "MATCH (n:`Two Words`) RETURN n" + batch["prompt"].str[:0]})
+
+    asked, none = make_questions(("q1", ["A"], None)), make_results(("q9", None, None, None))
+    for method, extract, query in (("seq2seq", None, "MATCH (n:`Two Words`) RETURN n"), ("seq2seq", True, "Two Words")):
+        table = generate_stage(asked, none, tick, method, *CONFIG[1:], extract=extract)
+        assert [r.gen.query for r in table.collect() if r.question_id == "q1"] == [query]
+
+
 def test_stages_end_to_end(spark, make_questions, make_results):
     def echo():
         import pandas as pd
