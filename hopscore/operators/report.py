@@ -49,7 +49,9 @@ def report_cells(pairs: DataFrame, fields: list[str], keys: list[str] = CONFIG)
     Fields are prefixed ``field:``. Category and relations are NULL but for failed executions.
     """
     failed, error = _is_failed(), F.col("exec.error")
-    dimensions = {f"field:{f}": field_value(pairs, f).cast("string") for f in fields}
+    asked = pairs.drop(*CONFIG, "gen", "exec", "eval")  # a field is one of the question, never of the result
+    ids = {"id": F.col("question_id")} if "question_id" in pairs.columns else {}
+    dimensions = {f"field:{f}": ids.get(f, field_value(asked, f)).cast("string") for f in fields}
     dimensions["category"] = F.when(failed, classify_error(error))
     dimensions["relations"] = F.when(failed, missing_relations(error))
     named = pairs.select(*keys, "gen", "exec", "eval", *[d.alias(n) for n, d in dimensions.items()])

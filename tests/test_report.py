@@ -165,3 +165,16 @@ def test_report_on_nothing_is_an_error(make_results, make_questions, tmp_path):
     for write in (report_text.write_json, report_text.write_markdown):
         with pytest.raises(ValueError):
             write(table, str(tmp_path / "x"))
+
+
+def test_fields_are_those_of_the_question(spark):
+    from hopscore.operators.report import report_cells
+
+    pairs = spark.sql(
+        "SELECT 'q' || id AS question_id, 'llm' AS method, 'cypher' AS lang, 'm' AS model, map('lang', if(id = 0, 'en', 'fr')) AS extra,"
+        " CAST(NULL AS struct<query: string, stats: struct<duration: double, input_tokens: bigint, output_tokens: bigint,"
+        " cached_tokens: bigint>>) AS gen, CAST(NULL AS struct<result: array<string>, success: boolean, error: string>) AS exec,"
+        " CAST(NULL AS struct<exact_match: double, f1: double, precision: double, recall: double>) AS eval FROM range(2)"
+    )
+    found = report_cells(pairs, ["lang", "id"]).select("`field:lang`", "`field:id`").collect()
+    assert sorted(map(tuple, found)) == [("en", "q0"), ("fr", "q1")]
