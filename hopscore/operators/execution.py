@@ -1,7 +1,7 @@
 """The execute stage: rows of query answers, the outcome of each query, and the structs stored for them.
 
-An answer row carries ``cells``: one JSON text per column. Answers stay in rows; ``pack_answers`` makes the array for
-the results table where a list fits in one row.
+An answer row carries ``cells``: one JSON text per column. Answers may stay in rows, as a table beside the results
+(``execute_rows_stage``); ``pack_answers`` makes the array for the results table.
 """
 
 from __future__ import annotations
@@ -67,15 +67,11 @@ def row_counts(queries: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     return joined.withColumn("is_empty", F.col("row_count") == 0)
 
 
-def pack_answers(answers: DataFrame, keys: list[str], max_items: int = 100_000) -> DataFrame:
-    """``keys, result ARRAY``, in row order. A longer list than ``max_items`` is an error, found by counting before
-    anything is gathered: score such results in row form (``score_answer_rows``), which has no limit."""
-    sizes = answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    too_long = F.raise_error(F.lit(f"an answer list exceeds {max_items} items; keep it in row form"))
-    fits = sizes.filter(F.when(F.col("n") > max_items, too_long.cast("boolean")).otherwise(F.lit(True)))
-    checked = answers.join(fits.select(*keys), keys, "left_semi")
+def pack_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, result ARRAY``, in row order (rows of one place by text), of any length. A list lies in one row here; where a list outgrows a row of the
+    cluster, leave the answers in rows: ``execute_rows_stage`` and ``evaluate_rows_stage`` never gather them."""
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "answer")))
-    return checked.groupBy(*keys).agg(F.transform(ordered, lambda a: a["answer"]).alias("result"))
+    return answers.groupBy(*keys).agg(F.transform(ordered, lambda a: a["answer"]).alias("result"))
 
 
 def exec_outcome(query: Column, error: Column, result: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopscore.model import CONFIG
+from hopscore.operators.execution import json_cell
 from hopscore.operators.prompts import run_id
 from hopscore.operators.report import (
     STATS,
@@ -21,16 +22,6 @@ from hopscore.operators.report import (
 from hopscore.operators.scoring import pair_results
 from hopscore.session import cut_lineage
 
-MAX_VALUES = 10_000  # values of a field, or missing relations, that fit in one JSON document
-
-
-def _bounded(table: DataFrame, *keys: str) -> DataFrame:
-    """The table, or an error if a group has too many rows for one document; counted before anything is gathered."""
-    too_many = F.raise_error(F.lit(f"more than {MAX_VALUES} entries for one JSON document; use the tables of the report"))
-    sizes = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    fits = sizes.filter(F.when(F.col("_n") > MAX_VALUES, too_many.cast("boolean")).otherwise(F.lit(True)))
-    return table.join(fits.select(*keys), list(keys), "left_semi")
-
 
 class Report:
     """The tables of a report on all configurations: ``summary``, ``by_field``, ``total_errors``, ``error_types`` and
@@ -53,34 +44,16 @@ class Report:
         self.error_types = named(error_categories(cells))
         self.missing_relations = named(unknown_relations(cells))
 
+    def json_pieces(self) -> DataFrame:
+        """``run_id, section, item, value, part, line``: lines that, sorted by these columns, are one JSON document per run."""
+        return json_pieces(self)
+
     def json(self) -> DataFrame:
-        """``run_id, json``: one document per configuration. Lists are in text order."""
-        stats = F.struct(*STATS)
-
-        def entries(key: str, value: Column) -> Column:
-            return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value.alias("v")))))
-
-        values = _bounded(self.by_field, "run_id", "field").groupBy("run_id", "field").agg(entries("value", stats).alias("values"))
-        empty = F.create_map().cast(values.schema["values"].dataType)
-        named = [F.any_value(F.when(F.col("field") == f, F.col("values")), ignoreNulls=True).alias(f) for f in self.fields]
-        fields = values.groupBy("run_id").agg(*named) if self.fields else self.summary.select("run_id")
-        members = [F.coalesce(F.col(f), empty).alias(f) for f in self.fields]
-        document = F.struct(*members) if members else empty
-        fields = fields.select("run_id", document.alias("by_field"))
-        types = self.error_types.groupBy("run_id").agg(entries("category", F.col("n")).alias("error_types"))
-        missing = _bounded(self.missing_relations, "run_id").groupBy("run_id").agg(F.array_sort(F.collect_set("relation")).alias("missing_relations"))
-        whole = self.summary.select("run_id", F.col("count").alias("total"), stats.alias("summary"))
-        for part in (fields, self.total_errors, missing, types):
-            whole = whole.join(part, "run_id", "left")
-        none = F.array().cast("array<string>")
-        errors = F.struct(
-            "total_errors",
-            F.coalesce("missing_relations", none).alias("missing_relations"),
-            F.coalesce("error_types", F.create_map().cast("map<string,bigint>")).alias("error_types"),
-        )
-        metadata = F.create_map().cast("map<string,string>").alias("metadata")
-        document = F.struct("run_id", "total", "summary", "by_field", errors.alias("errors"), metadata)
-        return whole.select("run_id", F.to_json(document).alias("json"))
+        """``run_id, json``: one document per row. ``write_json`` does the same without holding a document in one place."""
+        place = ("section", "item", "value", "part", "line")
+        lines = F.array_sort(F.collect_list(F.struct(*place)))
+        whole = F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("json")
+        return self.json_pieces().groupBy("run_id").agg(whole)
 
     def markdown(self) -> DataFrame:
         """``run_id, section, item, value, part, line``: sort by these columns to read a report from top to bottom."""
@@ -109,6 +82,38 @@ def _four(column: str) -> Column:
     return F.format_number(F.col(column), 4)
 
 
+def _members(table: DataFrame, section: int, item: Column, value: str, text: Column) -> DataFrame:
+    """One line per entry of a JSON list or object, in text order of ``value``; all but the first begin with a comma."""
+    first = table.groupBy("run_id").agg(F.min(value).alias("_first"))
+    comma = F.when(F.col(value) == F.col("_first"), "").otherwise(",")
+    entries = table.withColumn("_text", text).join(first, "run_id")
+    return _block(entries, section, item, F.concat(F.lit(" "), F.col(value)), [F.concat(comma, "_text")])
+
+
+def json_pieces(report: Report) -> DataFrame:
+    """Lines of all JSON reports with their sort columns: opening and closing lines, and one line per entry between."""
+    first, last, zero = F.lit(""), F.lit("\U0010ffff"), F.lit(0)
+    stats = F.to_json(F.struct(*STATS))
+    head = F.to_json(F.struct("run_id", F.col("count").alias("total"), F.struct(*STATS).alias("summary")))
+    opening = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"by_field":{'))
+    blocks = [_block(report.summary, 1, zero, first, [opening])]
+    runs = report.summary.select("run_id")
+    for i, field in enumerate(report.fields):
+        start = F.concat(F.lit("," if i else ""), json_cell(F.lit(field)), F.lit(":{"))
+        blocks.append(_block(runs, 2, F.lit(i), first, [start]))
+        entry = F.concat(json_cell(F.col("value")), F.lit(":"), stats)
+        blocks.append(_members(report.by_field.filter(F.col("field") == field), 2, F.lit(i), "value", entry))
+        blocks.append(_block(runs, 2, F.lit(i), last, [F.lit("}")]))
+    errors = F.concat(F.lit('},"errors":{"total_errors":'), F.col("total_errors").cast("string"), F.lit(',"missing_relations":['))
+    blocks.append(_block(report.total_errors, 3, zero, first, [errors]))
+    blocks.append(_members(report.missing_relations, 4, zero, "relation", json_cell(F.col("relation"))))
+    blocks.append(_block(runs, 5, zero, first, [F.lit('],"error_types":{')]))
+    entry = F.concat(json_cell(F.col("category")), F.lit(":"), F.col("n").cast("string"))
+    blocks.append(_members(report.error_types, 6, zero, "category", entry))
+    blocks.append(_block(runs, 7, zero, first, [F.lit('}},"metadata":{}}')]))
+    return reduce(DataFrame.unionByName, blocks)
+
+
 def markdown_lines(report: Report) -> DataFrame:
     """Lines of all reports with their sort columns. Within a section, items are fields in the order asked for, then
     their values; a heading sorts before its values, a closing blank line after them."""
@@ -162,14 +167,18 @@ def _not_empty(report: Report) -> None:
         raise ValueError("no results to report on")
 
 
+def _write(lines: DataFrame, path: str) -> None:
+    ordered = lines.orderBy("run_id", "section", "item", "value", "part")
+    ordered.select("run_id", "line").write.mode("overwrite").partitionBy("run_id").text(path)
+
+
 def write_json(report: Report, path: str) -> None:
-    """One JSON document per line."""
+    """A folder per run; the files of a folder, in name order, are its JSON document."""
     _not_empty(report)
-    report.json().select("json").write.mode("overwrite").text(path)
+    _write(report.json_pieces(), path)
 
 
 def write_markdown(report: Report, path: str) -> None:
     """A folder per run; the files of a folder, in name order, are the report."""
     _not_empty(report)
-    lines = report.markdown().orderBy("run_id", "section", "item", "value", "part")
-    lines.select("run_id", "line").write.mode("overwrite").partitionBy("run_id").text(path)
+    _write(report.markdown(), path)

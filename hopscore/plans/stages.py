@@ -11,9 +11,10 @@ from hopscore.model import CONFIG, KEY
 from hopscore.operators.execution import exec_outcome
 from hopscore.operators.generation import Model, generation_of, predict
 from hopscore.operators.prompts import prompt, with_schema
-from hopscore.operators.scoring import add_scores
+from hopscore.operators.scoring import add_scores, score_answer_rows
 from hopscore.operators.selection import pending_execute, pending_generate
 from hopscore.operators.staging import save_execution, save_generation
+from hopscore.session import cut_lineage
 
 
 def _keyed(questions: DataFrame, method: str, lang: str, model: str) -> DataFrame:
@@ -62,6 +63,52 @@ def execute_stage(
     return save_execution(results, rows.select(*KEY, outcome.alias("exec")))
 
 
+def execute_rows_stage(
+    questions: DataFrame,
+    results: DataFrame,
+    answers: DataFrame,
+    errors: DataFrame,
+    method: str,
+    lang: str,
+    model: str,
+    if_exists: str = "skip",
+) -> tuple[DataFrame, DataFrame]:
+    """Like ``execute_stage``, for answers in rows (``question_id, row_idx, answer``): returns the results, whose
+    ``exec.result`` is NULL, and the answer table to store beside them, ``KEY, row_idx, answer`` of the queries that succeeded."""
+    pending = _keyed(pending_execute(questions, results, method, lang, model, if_exists).select("id"), method, lang, model)
+    rows = pending.join(results.select(*KEY, "gen"), KEY).join(errors, "question_id", "left")
+    outcome = exec_outcome(F.col("gen.query"), F.col("engine_error"), F.lit(None).cast("array<string>"))
+    outcome = outcome.withField("result", F.lit(None).cast("array<string>"))
+    done = cut_lineage(rows.select(*KEY, outcome.alias("exec")))
+    stored = done.filter("exec.success").select(*KEY).join(answers, "question_id").select(*KEY, "row_idx", "answer")
+    return save_execution(results, done), stored
+
+
+def evaluate_rows_stage(
+    questions: DataFrame,
+    results: DataFrame,
+    answers: DataFrame,
+    config: tuple[str, str, str] | None = None,
+    if_exists: str = "skip",
+) -> DataFrame:
+    """Like ``evaluate_stage``, with the answers of ``execute_rows_stage``: lists of any length, none gathered. An execution
+    that holds its list is scored by that list."""
+    asked = questions.select(F.col("id").alias("question_id"), "answer")
+    todo = F.col("exec").isNotNull()
+    if if_exists == "skip":
+        todo &= F.col("eval").isNull()
+    for column, value in zip(CONFIG, config or ()):
+        todo &= F.col(column) == value
+    executions = results.filter(todo).join(asked.select("question_id"), "question_id", "left_semi")
+    gold = asked.select("question_id", F.explode("answer").alias("answer"))
+    listed = executions.filter("exec.success").select(*KEY, F.explode("exec.result").alias("answer"))
+    in_rows = answers.join(executions.filter("exec.success AND exec.result IS NULL").select(*KEY), KEY, "left_semi")
+    found = in_rows.select(*KEY, "answer").unionByName(listed)
+    scores = score_answer_rows(executions.select(*KEY, F.col("exec.success").alias("success")), found, gold)
+    joined = results.join(scores.select(*KEY, F.col("eval").alias("_scores"), F.lit(True).alias("_hit")), KEY, "left")
+    return joined.select(*KEY, "gen", "exec", F.when(F.col("_hit"), F.col("_scores")).otherwise(F.col("eval")).alias("eval"))
+
+
 def evaluate_stage(
     questions: DataFrame,
     results: DataFrame,

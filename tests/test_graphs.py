@@ -228,8 +228,9 @@ def test_collect_and_pack(spark):
     assert packed == {"q1": ['["Alice",30]', '["Bob",25]'], "q2": ["[null,1]"]}
     asked = spark.createDataFrame([("q1",), ("q3",)], "question_id string")
     assert {tuple(r) for r in row_counts(asked, one, "question_id").collect()} == {("q1", 2, False), ("q3", 0, True)}
-    with pytest.raises(PySparkException):
-        pack_answers(collect_answers(one, "question_id"), ["question_id"], max_items=1).collect()
+    many = spark.range(150_000).selectExpr("'q' AS question_id", "id AS row_idx", "CAST(id AS string) AS answer")
+    (packed,) = pack_answers(many, ["question_id"]).selectExpr("size(result) AS n", "result[149999] AS last").collect()
+    assert tuple(packed) == (150_000, "149999")
 
 
 def test_outcomes(spark):

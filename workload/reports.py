@@ -9,7 +9,7 @@ from hopscore.functions.answers import normalize_answers
 from hopscore.model import CONFIG, EVAL_TYPE, KEY
 from hopscore.operators import execution, prompts, report, scoring
 from hopscore.plans.report_text import Report
-from hopscore.plans.stages import evaluate_stage, execute_stage
+from hopscore.plans.stages import evaluate_rows_stage, evaluate_stage, execute_rows_stage, execute_stage
 from workload import views
 from workload.registry import Tables, query
 from workload.tables import CONFIG as RUN
@@ -156,6 +156,40 @@ def execute_stage_skip(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {views.SQL_LINES}
+    SELECT CAST(l_orderkey AS VARCHAR) AS question_id, string_agg({_ANSWER}, '|' ORDER BY l_linenumber, {_ANSWER}) AS answers, count(*) AS n_answers
+    FROM lines GROUP BY 1"""
+)
+def answer_lists(t: Tables) -> DataFrame:
+    """The answers of each query as a list: in row order (rows of one place by text), repeats kept."""
+    packed = execution.pack_answers(execution.collect_answers(_answer_rows(t), "question_id"), ["question_id"])
+    return packed.select("question_id", F.array_join("result", "|").alias("answers"), F.size("result").cast("long").alias("n_answers"))
+
+
+@query(
+    f"""{WITH_RESULTS}, after AS (
+      SELECT question_id, method, lang, model, CASE WHEN executed THEN success ELSE coalesce(query, '') <> '' END AS success,
+        {views.sql_normal("answer")} AS gold, {views.sql_normal("coalesce(f.predicted, [])")} AS pred
+      FROM results JOIN questions ON id = question_id LEFT JOIN found f ON CAST(l_orderkey AS VARCHAR) = question_id WHERE {SQL_CONFIG}),
+    hits AS (SELECT *, len(list_intersect(gold, pred)) AS tp FROM after)
+    SELECT question_id, method, lang, model, success, CASE WHEN success THEN CAST(gold = pred AS DOUBLE) END AS exact_match,
+      round(CASE WHEN success THEN CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (len(gold) + len(pred)) END END, 6) AS f1
+    FROM hits"""
+)
+def run_answer_rows(t: Tables) -> DataFrame:
+    """One configuration executed and evaluated with answers in rows, beside executions that hold their list."""
+    lines = views.lines(t).filter(F.col("l_returnflag") != "R")
+    answers = lines.select(
+        F.col("l_orderkey").cast("string").alias("question_id"), F.col("l_linenumber").alias("row_idx"), F.col("written").alias("answer")
+    )
+    errors = views.results(t).filter(F.col("exec.error").isNotNull()).select("question_id", F.col("exec.error").alias("engine_error"))
+    table, stored = execute_rows_stage(views.questions(t), views.results(t), answers, errors, *RUN)
+    table = evaluate_rows_stage(views.questions(t), table, stored, RUN, if_exists="override")
+    done = table.filter(" AND ".join(f"{c} = '{v}'" for c, v in zip(CONFIG, RUN)))
+    return done.select(*KEY, "exec.success", F.col("eval.exact_match").alias("exact_match"), F.round("eval.f1", 6).alias("f1"))
+
+
 _ROWS = """
 rows AS (SELECT event_id, CASE WHEN event_type IN ('view', 'error')
     THEN '{"type": "' || event_type || '", "value": ' || value || ', "props": ' || props || ', "none": null}'
@@ -313,6 +347,23 @@ def report_json(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    f"""{WITH_SCORED} SELECT 'orders-' || method || '-' || lang || '-' || model AS run_id, question_id AS value, count(*) AS total,
+      count(*) FILTER (WHERE NOT coalesce(success, FALSE)) AS error_count,
+      min(question_id) OVER (PARTITION BY method, lang, model) = question_id AS leads
+    FROM scored GROUP BY method, lang, model, question_id"""
+)
+def report_json_wide(t: Tables) -> DataFrame:
+    """Entries of the JSON reports by a field that has a value for each question, read back from their pieces."""
+    pieces = Report(scored(t), views.questions(t), views.DATASET, ["id"]).json_pieces()
+    entries = pieces.filter("section = 2 AND startswith(value, ' ')")
+    leads = ~F.col("line").startswith(",")
+    text = F.concat(F.lit("{"), F.regexp_replace("line", "^,", ""), F.lit("}"))
+    parsed = F.from_json(text, "map<string, struct<count: bigint, error_count: bigint>>")
+    read = entries.select("run_id", leads.alias("leads"), F.explode(parsed).alias("value", "stats"))
+    return read.select("run_id", "value", F.col("stats.count").alias("total"), F.col("stats.error_count").alias("error_count"), "leads")
+
+
 def _sql_markdown() -> str:
     def four(name: str) -> str:
         return f"printf('%.4f', {name})"
