@@ -35,12 +35,19 @@ def _required(value: Column, what: str) -> Column:
     return F.coalesce(value, F.raise_error(F.lit(f"schema without {what}")))
 
 
+def _whole_property(item: Column) -> Column:
+    return F.struct(
+        _required(item["name"], "a property name").alias("name"),
+        _required(item["data_type"], "a property type").alias("data_type"),
+    )
+
+
 def _properties(raw: Column) -> Column:
     """Properties written as an object of types or as a list of name and type."""
-    listed = F.from_json(raw, PROPERTIES)
+    listed = F.transform(F.from_json(raw, PROPERTIES), _whole_property)
     mapped = F.transform(
         F.map_entries(F.from_json(raw, "map<string,string>")),
-        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("data_type")),
+        lambda e: _whole_property(F.struct(e["key"].alias("name"), e["value"].alias("data_type"))),
     )
     parsed = F.when(F.startswith(raw, F.lit("{")), mapped).when(F.startswith(raw, F.lit("[")), listed)
     return F.coalesce(parsed, F.array().cast(PROPERTIES))
@@ -90,6 +97,7 @@ def parse_rdf_schema(text: Column) -> Column:
 
 def _rdf_schema(raw: Column) -> Column:
     none = F.array().cast("array<string>")
+    classes = F.transform(raw["classes"], lambda c: c.withField("uri", _required(c["uri"], "a class uri")))
 
     def properties(items: Column, kind: bool | None) -> Column:
         built = F.transform(
@@ -109,7 +117,7 @@ def _rdf_schema(raw: Column) -> Column:
         _required(raw["name"], "a name").alias("name"),
         F.coalesce(raw["extra"], F.create_map().cast(NO_EXTRA)).alias("extra"),
         F.coalesce(raw["prefixes"], F.create_map().cast(NO_EXTRA)).alias("prefixes"),
-        F.coalesce(raw["classes"], F.array().cast("array<struct<uri string, label string, parent string>>")).alias("classes"),
+        F.coalesce(classes, F.array().cast("array<struct<uri string, label string, parent string>>")).alias("classes"),
         F.concat(
             properties(raw["object_properties"], True),
             properties(raw["datatype_properties"], False),

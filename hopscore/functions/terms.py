@@ -23,6 +23,9 @@ INTEGERS = (
     "negativeInteger", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte",
 )
 FLOATS = ("double", "float")
+INTEGER = r"^[+-]?[0-9]+$"
+DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+DOUBLE = r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$"
 BOOLEANS = (("true", "true"), ("1", "true"), ("false", "false"), ("0", "false"))
 
 
@@ -61,18 +64,20 @@ def parse_term(text: Column) -> Column:
 
 
 def term_text(term: Column) -> Column:
-    """The answer text of a term: URIs as they are, blank nodes with their prefix, literals by datatype."""
+    """The answer text of a term: URIs as they are, blank nodes with their prefix, literals by datatype. A literal that is not
+    written as its datatype asks keeps its text."""
     value, datatype = term["value"], term["datatype"]
     types = {name: XSD + name for name in (*INTEGERS, *FLOATS, "boolean", "decimal")}
     boolean = F.lit(None).cast("string")
     for written, truth in BOOLEANS:
         boolean = F.when(value == written, truth).otherwise(boolean)
-    decimal = F.regexp_replace(value, r"^\+", "")
+    unsigned = F.regexp_replace(F.regexp_replace(value, r"^\+|\.$", ""), r"^(-?)0+(?=[0-9])", "$1")
+    decimal = F.regexp_replace(unsigned, r"^(-?)\.", "$10.")
     number = (
-        F.when(datatype.isin([types[n] for n in INTEGERS]), value.try_cast("decimal(38,0)").cast("string"))
-        .when(datatype.isin([types[n] for n in FLOATS]), float_text(value.try_cast("double")))
+        F.when(datatype.isin([types[n] for n in INTEGERS]) & value.rlike(INTEGER), value.try_cast("decimal(38,0)").cast("string"))
+        .when(datatype.isin([types[n] for n in FLOATS]) & value.rlike(DOUBLE), float_text(value.try_cast("double")))
         .when(datatype == types["boolean"], boolean)
-        .when(datatype == types["decimal"], decimal)
+        .when((datatype == types["decimal"]) & value.rlike(DECIMAL), decimal)
     )
     blank = F.concat(F.lit("_:"), value)
     return F.when(term["kind"] == "bnode", blank).when(datatype.isNull(), value).otherwise(F.coalesce(number, value))

@@ -21,15 +21,20 @@ PROMPTS = {
     "gremlin": _TASK.format(name="Gremlin", hint="Begin at the vertices or edges of `g` and return the answers."),
     "sparql": _TASK.format(name="SPARQL", hint="Use triple patterns and select the answers."),
 }
+# The marks of template syntax. Only plain variables are filled in here.
+_SYNTAX = re.compile(r"\{\{|\{%|\{#")
 _VARIABLE = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
 
 def render(template: str, values: dict[str, Column]) -> Column:
-    """Fill ``{{ name }}`` places with columns. A name without a column is an error, and so is a NULL value.
+    """Fill ``{{ name }}`` places with columns. A name without a column is an error, and so are a NULL value and
+    any other template syntax.
 
     The template is cut up once, so braces inside a value are never taken for a place to fill.
     """
     template = template.removesuffix("\n")
+    if unknown := _SYNTAX.search(_VARIABLE.sub("", template)):
+        raise ValueError(f"template syntax other than plain variables: {unknown.group()!r}")
     pieces, end = [], 0
     for place in _VARIABLE.finditer(template):
         name = place.group(1)

@@ -13,7 +13,8 @@ from hopscore.model import EVAL_TYPE, EXEC_TYPE, GEN_TYPE, KEY, STAGES
 
 
 def _one_per_key(updates: DataFrame, value: str, order: str | None) -> DataFrame:
-    last = F.max_by(value, order) if order else F.any_value(value)
+    several = F.raise_error(F.lit(f"several updates of {value} to one key; name the column that orders them"))
+    last = F.max_by(value, order) if order else F.when(F.count(F.lit(1)) == 1, F.any_value(value)).otherwise(several)
     return updates.groupBy(*KEY).agg(last.alias("_new"), F.lit(True).alias("_hit"))
 
 
@@ -24,7 +25,7 @@ def _null(dtype) -> Column:
 def save_generation(results: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """Insert or replace ``gen`` for the keys of ``updates``; their ``exec`` and ``eval`` become NULL.
 
-    Of several updates to one key the one with the greatest ``order`` wins.
+    Of several updates to one key the one with the greatest ``order`` wins; without ``order`` they are an error.
     """
     hit = F.col("_hit").isNotNull()
     joined = results.join(_one_per_key(updates, "gen", order), KEY, "full_outer")

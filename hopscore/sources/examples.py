@@ -47,11 +47,13 @@ def read_examples(
 def examples_from_json(
     lines: DataFrame, columns: dict[str, str], prepare: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Rows of JSON text (one object, or an array of objects) to examples."""
+    """Rows of JSON text (one object, or an array of objects) to examples; a text that is neither is an error."""
     text = F.trim("value")
-    objects = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    broken = F.raise_error(F.concat(F.lit("not a JSON array: "), F.left(text, F.lit(200))))
+    no_object = F.raise_error(F.concat(F.lit("not a JSON object: "), F.left("json", F.lit(200))))
+    objects = F.when(F.startswith(text, F.lit("[")), F.coalesce(F.from_json(text, "array<string>"), broken)).otherwise(F.array(text))
     records = lines.filter(text != "").select("split", F.explode(objects).alias("json"))
-    fields = records.withColumn("fields", F.from_json("json", RAW))
+    fields = records.withColumn("fields", F.coalesce(F.from_json("json", RAW), no_object))
     fields = prepare(fields) if prepare else fields
 
     def field(name: str):

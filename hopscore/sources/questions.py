@@ -58,10 +58,12 @@ def read_question_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_question_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files that hold one array each. A file is read by one task; turn large ones into lines once."""
+    """JSON files that hold one array each; a file that is none is an error. A file is read by one task; turn large ones into
+    lines once."""
+    broken = F.raise_error(F.concat(F.lit("not a JSON array: "), "file_path"))
     files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
     records = files.select(
-        "file_path", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "value")
+        "file_path", F.posexplode(F.coalesce(F.from_json("value", "array<string>"), broken)).alias("pos", "value")
     ).select("value", F.struct("file_path", "pos").alias("_order"))
     return parse_questions(records, order="_order")
 

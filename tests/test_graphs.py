@@ -313,3 +313,21 @@ VERTEX = "struct<id: int, label: string>"
 )
 def test_traversal_values(spark, dtype, item, text):
     assert canonical(spark.createDataFrame([(item,)], f"v {dtype}"), traversal_value) == [text]
+
+
+@pytest.mark.parametrize(
+    "written, datatype, text",
+    [
+        ("1.5", "integer", "1.5"),
+        ("1e3", "integer", "1e3"),
+        ("007", "integer", "7"),
+        ("01.50", "decimal", "1.50"),
+        (".5", "decimal", "0.5"),
+        ("-.5", "decimal", "-0.5"),
+        ("1.0d", "double", "1.0d"),
+        ("1e3", "double", "1000.0"),
+    ],
+)
+def test_numbers_by_their_written_form(value, written, datatype, text):
+    literal = f'"{written}"^^<http://www.w3.org/2001/XMLSchema#{datatype}>'
+    assert value(lambda c: term_text(parse_term(c)), "string", literal) == text

@@ -57,7 +57,7 @@ def test_empty_schema(value):
     assert text(value, {"name": "Empty"}, "sparql") == "RDF Graph: Empty\n\nProperties:"
 
 
-@pytest.mark.parametrize("broken", [{"nodes": []}, {"name": "x", "edges": [{"label": "E", "target_label": "B"}]}, {"name": "x", "nodes": [{}]}])
+@pytest.mark.parametrize("broken", [{"nodes": []}, {"name": "x", "edges": [{"label": "E", "target_label": "B"}]}, {"name": "x", "nodes": [{}]}, {"name": "x", "nodes": [{"label": "A", "properties": [{"name": "p"}]}]}])
 def test_missing_parts_are_errors(value, broken):
     with pytest.raises(PySparkException):
         text(value, broken, "cypher")
@@ -100,3 +100,8 @@ def test_files(spark, tmp_path):
 def test_unknown_language_reads_as_property_graph(spark):
     frame = spark.createDataFrame([(json.dumps(MOVIES),)], "j string")
     assert frame.select(schema_text(F.col("j"), "kopl")).first()[0].startswith("Graph: MovieDB\n\nNodes:")
+
+
+def test_class_without_uri_is_an_error(value):
+    with pytest.raises(PySparkException):
+        text(value, {"name": "x", "classes": [{"label": "a"}]}, "sparql")

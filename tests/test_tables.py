@@ -39,6 +39,12 @@ def test_load_questions(loaded):
     assert rows["q004"].extra is None and rows["q004"].answer == []
 
 
+def test_truncated_array_is_an_error(spark, tmp_path):
+    (tmp_path / "cut.json").write_text(json.dumps(RECORDS)[:-20])
+    with pytest.raises(PySparkException):
+        questions_.read_question_arrays(spark, str(tmp_path / "cut.json")).collect()
+
+
 def test_filter_and_fields(loaded):
     latest = questions_.latest_questions(loaded, "_order")
 

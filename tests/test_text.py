@@ -142,3 +142,9 @@ def test_parse_response(spark, provider, payload, parsed):
     frame = spark.createDataFrame([(provider, payload)], "provider string, payload string")
     got = frame.select(parse_response(F.col("provider"), F.col("payload"))).first()[0]
     assert (tuple(got) if got else None) == parsed
+
+
+@pytest.mark.parametrize("template", ["{% if schema %}x{% endif %}", "{{ question|upper }}", "{# note #}"])
+def test_other_template_syntax_is_an_error(spark, template):
+    with pytest.raises(ValueError):
+        render(template, {"question": F.lit("q")})

@@ -28,6 +28,13 @@ def folder(tmp_path):
     return data
 
 
+@pytest.mark.parametrize("name, text", [("train.json", json.dumps(TRAIN)[:-9]), ("test.jsonl", json.dumps(TEST[0]) + '\n{"question": "cut')])
+def test_broken_files_are_errors(spark, folder, name, text):
+    (folder / name).write_text(text)
+    with pytest.raises(PySparkException):
+        read_examples(spark, str(folder), COLUMNS).collect()
+
+
 def test_read_splits(spark, folder):
     rows = read_examples(spark, str(folder), COLUMNS).collect()
     assert Counter(r.split for r in rows) == {"train": 2, "val": 1, "test": 1}
