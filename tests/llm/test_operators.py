@@ -196,6 +196,24 @@ def test_repeated_passages(plain, odd, empty):
     assert left.where("doc_id is null").count() == 2
 
 
+@pytest.mark.parametrize("local", [4_096, 6])
+def test_passages_with_a_frequent_line(spark, monkeypatch, local):
+    """Passages of 50 to 60 words, each in two documents, around a line of 40 words that stands in all, in the first one twice."""
+    monkeypatch.setattr(passages, "LOCAL", local)
+    line, texts, want = sentence(400, 40), [], set()
+    texts.append(f"{sentence(401, 30)} {line} {sentence(402, 30)} {line} {sentence(403, 30)}")
+    for i in range(24):
+        extra, left = 10 + i % 11, i % 11
+        words = sentence(500 + i, extra).split()
+        passage = " ".join([*words[:left], line, *words[left:]])
+        for copy in range(2):
+            texts.append(f"{sentence(1000 + 2 * i + copy, 30)} {passage} {sentence(2000 + 2 * i + copy, 30)}")
+        want.add((len(texts) - 1, len(texts) - 2, 30, 30 + 40 + extra))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = passages.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.first_id, r.start, r.end) for r in found} == want
+
+
 def test_warc(spark):
     page = "<p>é " + "x" * 100
     rows = [(3, "u\r\nv", page), (1, "u", page), (2, None, "short"), (4, None, "short"), (5, "w", None), (6, "w", ""), (1, "u", page)]
