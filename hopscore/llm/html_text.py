@@ -2,8 +2,9 @@
 
 A page is read as blocks of text, each under its root-to-leaf path of block tags (inline tags do not count). For every path of a
 page the length, punctuation, linked characters and number of its blocks are summed; the ratios per block are smoothed over
-the neighbouring blocks, fused into one score and compared with a threshold of the page. The element that holds the best part of
-the scoring text is the article, and all its blocks are the result: short paragraphs and headings are not dropped.
+the neighbouring blocks, fused into one score and compared with a threshold of the page. The least element that holds all blocks
+that reach it bounds the result. All blocks of the articles in it are kept, or of itself where it is no whole page: short
+paragraphs, headings and lists of links are not dropped. Elsewhere blocks that reach the threshold are kept, and what lies between them.
 Elements that announce themselves as something else (menus, forms, adverts, comments ...) never hold content.
 
 Rows of a page table: a null or empty html gives an empty text. Each row is extracted by itself, so that null or repeated ids
@@ -216,27 +217,32 @@ def main_text(page: str | None) -> str:
         return ""
     values = scores(blocks)
     threshold = max(values.mean() - values.std(), 0.15 * values.max())
-    weights = np.array([len(b.text) - min(b.linked, len(b.text)) for b in blocks]) * (values >= threshold)
+    weights = np.array([max(0, len(b.text) - b.linked) for b in blocks]) * (values >= threshold)
     if not weights.any():
         weights = np.array([len(b.text) for b in blocks], float)
-    held: dict[int, float] = defaultdict(float)
-    depth: dict[int, int] = {}
-    for block, weight in zip(blocks, weights, strict=True):
-        for level, element in enumerate(block.elements):
-            held[element] += weight
-            depth[element] = level
+    scoring = np.flatnonzero(weights)
     named = {e: b.path[i] for b in blocks for i, e in enumerate(b.elements)}
-    articles = [e for e in held if named[e] in ("article", "main") and held[e] >= 0.5 * weights.sum()]
-    enough = [e for e in held if held[e] >= 0.75 * weights.sum()]
-    chosen = max(articles or enough, key=lambda e: depth[e], default=None)
-    if chosen is not None and not articles:
-        # a leaf alone is not an article: take its parent as long as the leaf holds text itself
-        leaf = next(b for b in blocks if chosen in b.elements)
-        if leaf.elements[-1] == chosen and len(leaf.elements) > 1 and named[chosen] not in ("div", "section", "td", "body"):
-            chosen = leaf.elements[-2]
-    inside = [b for b in blocks if chosen is None or chosen in b.elements]
-    kept = [b for b in inside if not (b.linked >= 0.9 * len(b.text) and b.path[-1] in ("li", "ul", "div", "td"))]
-    return "\n\n".join(b.text for b in kept)
+    held = set.intersection(*(set(blocks[i].elements) for i in scoring))
+    around = [e for e in held if named[e] in ("article", "main")]
+    bound = max(around or held, default=None)  # elements are numbered as they open: the last of those that hold all is the least
+    if bound is not None and named[bound] not in ("article", "main", "div", "section", "td", "body"):
+        above = blocks[scoring[0]].elements  # a leaf alone is not an article: its parent is
+        bound = above[max(0, above.index(bound) - 1)]
+    article = [any(named[e] in ("article", "main") for e in b.elements) for b in blocks]
+    in_articles = weights[article].sum() >= 0.5 * weights.sum()
+    kept = []
+    for i, block in enumerate(blocks):
+        links = block.linked >= 0.9 * len(block.text) and block.path[-1:] and block.path[-1] in ("li", "ul", "div", "td")
+        between = weights[i] > 0 or (scoring[0] < i < scoring[-1] and not links)
+        if bound is not None and bound not in block.elements:
+            continue
+        if in_articles:
+            keep = article[i] or between
+        else:
+            keep = between or not links or (bound is not None and named[bound] not in ("body", "html"))
+        if keep:
+            kept.append(block.text)
+    return "\n\n".join(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

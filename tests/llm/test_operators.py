@@ -252,6 +252,18 @@ def test_main_text(spark):
     assert found[1].n_chars == len(found[1].text) and found[None].text == ""
 
 
+PROSE = ["One sentence of the story, and a second one; it goes on for a while.", "Then there is more of it, with marks, and it ends here."]
+
+
+def test_main_text_of_several_parts():
+    one, two = (f"<p>{x}</p>" for x in PROSE)
+    both = "\n\n".join(PROSE)
+    assert html_text.main_text(f"<main><article>{one}{one}</article><article>{two}</article></main>") == f"{PROSE[0]}\n\n{both}"
+    lead = f"<body><div id=x><div class=lead>{two}</div><div class=body>{one * 5}</div></div><div>Imprint</div></body>"
+    assert html_text.main_text(lead) == "\n\n".join([PROSE[1], *PROSE[:1] * 5])
+    assert html_text.main_text(f"<article>{one * 5}</article><div>{two}</div><ul><li><a>Home</a></ul>") == "\n\n".join([*PROSE[:1] * 5, PROSE[1]])
+
+
 def test_nearest(spark):
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(400, 8)).astype(np.float32).tolist()
