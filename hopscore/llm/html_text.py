@@ -5,7 +5,9 @@ page the length, punctuation, linked characters and number of its blocks are sum
 the neighbouring blocks, fused into one score and compared with a threshold of the page. The least element that holds all blocks
 that reach it bounds the result. All blocks of the articles in it are kept, or of itself where it is no whole page: short
 paragraphs, headings and lists of links are not dropped. Elsewhere blocks that reach the threshold are kept, and what lies between them.
-Elements that announce themselves as something else (menus, forms, adverts, comments ...) never hold content.
+Invisible elements and navigation, footers and asides never hold content. Forms, roles and words in class or id that name
+something else (menus, adverts, comments ...) are evidence: such an element is left out unless it is also named as content, holds most of the
+prose of a page that has no article elsewhere, or, for words that may be of the article itself, is prose within the article.
 
 Rows of a page table: a null or empty html gives an empty text. Each row is extracted by itself, so that null or repeated ids
 stay as they are. Other columns are not read.
@@ -59,7 +61,11 @@ OTHER_WORDS = frozenset(
     "modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended "
     "recommendations widget widgets teaser teasers skip hidden disclaimer copyright legal tags".split()
 )
-CONTENT_WORDS = frozenset("article content post entry story main body text page single wrapper container".split())
+#: Of these words, those that may name a part of an article as well, and words that make another a property of the whole element.
+WEAK_WORDS = frozenset("alert copyright disclaimer hidden legal notice notices related recommended sharing skip social tags".split())
+MODIFIERS = frozenset("has have no not with without".split())
+CONTENT_WORDS = frozenset("article content post entry story main".split())
+PROSE = 40  # characters of a block that is more than a label
 PUNCTUATION = re.compile("[.,;:!?…。，、；：！？؟،]")
 
 _TOKEN = re.compile(
@@ -74,38 +80,60 @@ _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    """A run of text between block tags: its path, the elements above it, and its linked characters."""
+    """A run of text between block tags: its path, the elements above it, its linked characters and the doubtful elements above."""
 
-    __slots__ = ("elements", "linked", "path", "text")
+    __slots__ = ("doubts", "elements", "linked", "path", "text")
 
-    def __init__(self, path: tuple[str, ...], elements: tuple[int, ...], text: str, linked: int):
-        self.path, self.elements, self.text, self.linked = path, elements, text, linked
+    def __init__(self, path: tuple[str, ...], elements: tuple[int, ...], text: str, linked: int, doubts: tuple[tuple[int, str], ...]):
+        self.path, self.elements, self.text, self.linked, self.doubts = path, elements, text, linked, doubts
 
+    def prose(self) -> int:
+        """Characters without a link, where the text has punctuation."""
+        return max(0, len(self.text) - self.linked) if PUNCTUATION.search(self.text) else 0
 
-def _other(tag: str, attributes: str, above: list[str]) -> bool:
-    """Whether an element holds something other than the article."""
-    if tag in OTHER_TAGS or (tag == "header" and "article" not in above and "main" not in above):
-        return True
-    if tag in ("html", "body", "main") or not attributes:
-        return False
+
+def _named(value: str) -> tuple[set[str], bool]:
+    """The words of a class or id that name something other than the article, and whether a name in it is one of content."""
+    value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
+    names = [_WORDS.findall(name) for name in value.split()]
+    names = [name for name in names if name and name[0] not in MODIFIERS]
+    return {word for name in names for word in name if word in OTHER_WORDS}, any(CONTENT_WORDS.issuperset(name) for name in names)
+
+
+def _kind(tag: str, attributes: str, above: list[str]) -> tuple[str, bool]:
+    """``other`` for an element that never holds the article, ``strong`` or ``weak`` for a doubtful one, or an empty text; and whether its
+    class or id names it as content."""
+    if (tag in OTHER_TAGS and tag != "form") or (tag == "header" and "article" not in above and "main" not in above):
+        return "other", False
+    kind, content, words = "strong" if tag == "form" else "", False, set()
     for match in _ATTRIBUTE.finditer(attributes):
         name = match[1].lower()
         value = html.unescape(match[2] or match[3] or match[4] or "")
         if name in ("class", "id"):
-            value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
-            words = set(_WORDS.findall(value))
-            if words & OTHER_WORDS and not (tag == "article" and "comment" not in value):
-                return True
+            found, named = _named(value)
+            content |= named
+            if not (tag == "article" and "comment" not in value.lower()):
+                words |= found
+        elif tag in ("html", "body", "main"):
+            continue
         elif name == "role" and value.lower() in OTHER_ROLES:
-            return True
+            kind = "strong"
         elif (name == "style" and _HIDDEN.search(value)) or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+            return "other", False
+    if tag in ("html", "body", "main"):
+        return "", content
+    if re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        return "other", False
+    if words and not content and not kind:
+        kind = "weak" if words <= WEAK_WORDS else "strong"
+    return kind, content
 
 
-def parse(page: str) -> list[Block]:
-    """The blocks of a page in order, without those of elements that hold something else."""
+def parse(page: str) -> tuple[list[Block], set[int]]:
+    """The blocks of a page in order, without those of elements that never hold content, and the elements named as content."""
     blocks: list[Block] = []
+    doubts: list[tuple[int, str] | None] = []  # of the open elements
+    contents: set[int] = set()
     tags: list[str] = []  # open elements, inline ones too
     numbers: list[int] = []
     skipped = 0  # open elements from the outermost one that is skipped on; 0: none
@@ -118,7 +146,8 @@ def parse(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 outer = [i for i, tag in enumerate(tags) if tag not in INLINE]
-                blocks.append(Block(tuple(tags[i] for i in outer), tuple(numbers[i] for i in outer), text, linked))
+                path, elements = tuple(tags[i] for i in outer), tuple(numbers[i] for i in outer)
+                blocks.append(Block(path, elements, text, linked, tuple(x for x in doubts if x)))
             parts.clear()
         linked = 0
 
@@ -130,10 +159,10 @@ def parse(page: str) -> list[Block]:
 
     def close(to: int) -> None:
         nonlocal links, skipped
-        if any(tag not in INLINE for tag in tags[to:]):
+        if any(tag not in INLINE for tag in tags[to:]) or any(doubts[to:]):
             flush()
         links -= tags[to:].count("a")
-        del tags[to:], numbers[to:]
+        del tags[to:], numbers[to:], doubts[to:]
         if skipped and len(tags) < skipped:
             skipped = 0
             parts.clear()
@@ -174,22 +203,47 @@ def parse(page: str) -> list[Block]:
         if tag in VOID:
             continue
         count += 1
-        other = not skipped and _other(tag, match[3], tags)
+        kind, content = ("", False) if skipped else _kind(tag, match[3], tags)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if match[3].endswith("/") and "svg" in tags:
             continue
-        if other:
+        if kind:
             flush()
+        if kind == "other":
             skipped = len(tags) + 1
+        if content or tag in ("article", "main"):
+            contents.add(count)
         tags.append(tag)
         numbers.append(count)
+        doubts.append((count, kind) if kind in ("strong", "weak") else None)
         links += tag == "a"
     if not skipped:
         flush()
-    return blocks
+    return blocks, contents
+
+
+def _without_doubtful(blocks: list[Block], contents: set[int]) -> list[Block]:
+    """The blocks that stand in no doubtful element, or only in such as hold content all the same; all, where none is left."""
+    spans: dict[tuple[int, str], list[int]] = {}  # an element's blocks follow each other
+    for i, block in enumerate(blocks):
+        for doubt in block.doubts:
+            spans.setdefault(doubt, [i, i])[1] = i + 1
+    prose = np.cumsum([0, *(b.prose() for b in blocks)])
+    content = [bool(contents.intersection(b.elements)) and bool(b.prose() or len(b.text) - b.linked >= PROSE) for b in blocks]
+    held = np.cumsum([0, *content])
+    left_out = set()
+    for (element, kind), (first, last) in ((doubt, (a, max(a + 1, b))) for doubt, (a, b) in spans.items()):
+        own = blocks[first:last]
+        if prose[last] - prose[first] > 0.5 * prose[-1] and held[last] - held[first] == held[-1]:
+            continue
+        if kind == "weak" and contents.intersection(x for x in own[0].elements if x < element):
+            if 2 * sum(b.prose() for b in own if len(b.text) >= PROSE) > sum(len(b.text) for b in own):
+                continue
+        left_out.add(element)
+    return [b for b in blocks if not any(x in left_out for x, _ in b.doubts)] or blocks
 
 
 def scores(blocks: list[Block]) -> np.ndarray:
@@ -212,7 +266,8 @@ def scores(blocks: list[Block]) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by two line feeds."""
-    blocks = parse(page or "")
+    blocks, contents = parse(page or "")
+    blocks = _without_doubtful(blocks, contents)
     if not blocks:
         return ""
     values = scores(blocks)

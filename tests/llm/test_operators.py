@@ -264,6 +264,24 @@ def test_main_text_of_several_parts():
     assert html_text.main_text(f"<article>{one * 5}</article><div>{two}</div><ul><li><a>Home</a></ul>") == "\n\n".join([*PROSE[:1] * 5, PROSE[1]])
 
 
+@pytest.mark.parametrize(
+    "name", ["content has-sidebar", "layout no-sidebar", "post with-comments", "entry tags-news", "with-comments", "sidebar-left", "hasSidebar"]
+)
+def test_class_words_are_evidence_only(name):
+    story = "".join(f"<p>{x}</p>" for x in PROSE)
+    page = f"<body><div class='{name}'>{story}<div class=comments><p>I agree, really.</p></div></div><form>Mail</form></body>"
+    assert html_text.main_text(page) == "\n\n".join(PROSE)
+
+
+def test_parts_of_an_article_that_were_left_out():
+    story = "".join(f"<p>{x}</p>" for x in PROSE)
+    page = f"<article>{story}<section class=related-work><p>{PROSE[1]}</p></section><h2>Sources</h2><ul><li><a>A book</a></ul></article>"
+    page += "<div class=related><a>Other</a></div><ul><li><a>Home</a></ul>"
+    assert html_text.main_text(page) == "\n\n".join([*PROSE, PROSE[1], "Sources", "A book"])
+    assert html_text.main_text(f"<body><form id=aspnet>{story}</form></body>") == "\n\n".join(PROSE)
+    assert html_text.main_text("<div class=notice>Closed</div>") == "Closed"
+
+
 def test_nearest(spark):
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(400, 8)).astype(np.float32).tolist()
