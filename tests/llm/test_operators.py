@@ -196,6 +196,28 @@ def test_repeated_passages(plain, odd, empty):
     assert left.where("doc_id is null").count() == 2
 
 
+@pytest.mark.parametrize("count", [50, 60, 75])
+def test_passages_with_one_changed_word_at_every_place(count):
+    passage = sentence(600, count).split()
+    before, after, other = (sentence(601 + i, 20).split() for i in range(3))
+    theirs = words.Texts([" ".join([*other, *passage, *other])]).shingles()[0]
+    for place in range(count):
+        changed = [*passage[:place], "changed", *passage[place + 1 :]]
+        own = words.Texts([" ".join([*before, *changed, *after])]).shingles()[0]
+        known = np.isin(own, theirs)
+        best = 0  # of all stretches between matches, the longest that reaches the threshold
+        for i in np.flatnonzero(known).tolist():
+            for j in np.flatnonzero(known).tolist():
+                low, high = i, j + 1  # places are the same on both sides
+                same = len(np.intersect1d(own[low:high], theirs[low:high]))
+                if high - low >= 46 and same >= 0.8 * (2 * (high - low) - same):
+                    best = max(best, high - low)
+        found = passages.shared_runs(own, theirs, 46, 0.8)
+        assert max((end - start for start, end, *_ in found), default=0) == best
+    edge = passages.shared_runs(theirs[20:76], theirs, 46, 0.8)
+    assert edge == [(0, 56, 20, 76, 1.0)]
+
+
 @pytest.mark.parametrize("local", [4_096, 6])
 def test_passages_with_a_frequent_line(spark, monkeypatch, local):
     """Passages of 50 to 60 words, each in two documents, around a line of 40 words that stands in all, in the first one twice."""
