@@ -236,6 +236,18 @@ def test_passages_with_a_frequent_line(spark, monkeypatch, local):
     assert {(r.doc_id, r.first_id, r.start, r.end) for r in found} == want
 
 
+def test_passages_of_two_texts_under_one_id(spark):
+    shared, other, clean = sentence(700, 60), sentence(701, 60), sentence(702, 200)
+    rows = [(1, f"{sentence(703, 40)} {other}"), (2, clean), (2, f"{sentence(704, 20)} {other} {sentence(705, 20)}")]
+    rows += [(3, f"{sentence(706, 10)} {shared}"), (3, f"{sentence(707, 30)} {shared}"), (3, f"{sentence(707, 30)} {shared}")]
+    left = passages.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = rows_of(left)
+    assert len(texts) == 6
+    assert (2, clean) in texts and (2, f"{sentence(704, 20)} {sentence(705, 20)}") in texts and (1, rows[0][1]) in texts
+    with_shared = {t for i, t in texts if i == 3 and shared in t}
+    assert len(with_shared) == 1 and len({t for i, t in texts if i == 3}) == 2
+
+
 def test_warc(spark):
     page = "<p>é " + "x" * 100
     rows = [(3, "u\r\nv", page), (1, "u", page), (2, None, "short"), (4, None, "short"), (5, "w", None), (6, "w", ""), (1, "u", page)]
