@@ -34,16 +34,35 @@ from hopscore.llm.words import mix, shingle_sets
 THRESHOLD, RECALL = 0.8, 0.999
 SKETCH = 48
 SMALL, BLOCK, DEPTH = 64, 256, 3
-NEAR, FAR = 0.5, 0.12  # of samples: candidates, and what the triangle inequality excludes from a link with one
 NONE = np.uint32(0xFFFFFFFF)
 
 
-def run_count(recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall``, even if each level had to split."""
-    alive = 1.0
-    for _ in range(depth):
-        alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+def miss(number: int, branchings: int, threshold: float = THRESHOLD) -> float:
+    """Probability that a pair at the threshold never meets in ``number`` runs, even if each level had to split.
+
+    All runs choose from the same samples, so it is the mean over the tokens that the samples share: each of SKETCH with ``threshold``.
+    """
+    total = 0.0
+    for shared in range(SKETCH + 1):
+        alive = 1.0
+        for _ in range(branchings):
+            alive = 1 - math.exp(-alive * shared / (threshold * SKETCH))
+        total += math.comb(SKETCH, shared) * threshold**shared * (1 - threshold) ** (SKETCH - shared) * (1 - alive) ** number
+    return total
+
+
+def run_count(recall: float = RECALL, depth: int = DEPTH, threshold: float = THRESHOLD) -> int:
+    """Runs after which a pair at the threshold has met with probability ``recall``: the first choice and ``depth`` more branch."""
+    number = 1
+    while miss(number, depth + 1, threshold) > 1 - recall:
+        number += 1
+    return number
+
+
+def bounds(threshold: float = THRESHOLD) -> tuple[float, float]:
+    """Of samples: the index of candidates, and the one under which the triangle inequality excludes a link with a candidate's."""
+    near = max(0.1, threshold - 0.3)
+    return near, near - (1 - threshold) - 0.18
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,9 +110,10 @@ def sign(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(signed, f"doc_id {kind}, text_key string, digest string, words long, sketch binary")
 
 
-def _forest(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(groups: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Edges that connect the candidates of each bucket, or of each pair of blocks."""
     edges: list[tuple[str, str]] = []
+    least, _ = bounds(threshold)
     for group in groups:
         names, size = group["digest"].to_numpy(), len(group)
         if size < 2:
@@ -102,10 +122,10 @@ def _forest(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest = Forest(size)
         for i in range(size - 1):
             low, high = np.minimum(words[i], words[i + 1 :]), np.maximum(words[i], words[i + 1 :])
-            others = i + 1 + np.flatnonzero((low >= THRESHOLD * high) & ((side[i] != side[i + 1 :]) | (side[i] < 0)))
+            others = i + 1 + np.flatnonzero((low >= threshold * high) & ((side[i] != side[i + 1 :]) | (side[i] < 0)))
             others = np.array([x for x in others.tolist() if forest.find(x) != forest.find(i)], int)
             if len(others):
-                near = estimates(np.broadcast_to(sample[i], (len(others), SKETCH)), sample[others]) >= NEAR
+                near = estimates(np.broadcast_to(sample[i], (len(others), SKETCH)), sample[others]) >= least
                 for x in others[near].tolist():
                     forest.join(i, x)
         edges += [(names[a], names[b]) for a, b in forest.edges]
@@ -118,7 +138,8 @@ def _forest(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _candidates(points: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Edges ``(a, b)`` that connect all points which meet in a bucket and have similar samples."""
-    number = run_count(recall)
+    number = run_count(recall, DEPTH, threshold)
+    least, far = bounds(threshold)
 
     def roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -155,12 +176,12 @@ def _candidates(points: DataFrame, threshold: float, recall: float) -> DataFrame
             compare, "path long, digest string, n long, words long, sketch binary, pivot string, near double"
         )
         compared = saved(compared, "path-compared")
-        found.append(compared.where((F.col("near") >= NEAR) & (F.col("digest") != F.col("pivot"))).select("pivot", "digest"))
-        between = compared.where((F.col("near") >= FAR) & (F.col("near") < NEAR)).select("path").distinct()
+        found.append(compared.where((F.col("near") >= least) & (F.col("digest") != F.col("pivot"))).select("pivot", "digest"))
+        between = compared.where((F.col("near") >= far) & (F.col("near") < least)).select("path").distinct()
         # those near the pivot meet again only where others lie between; those very near cannot be linked with such
-        near = F.col("near") <= 1 - (1 - NEAR - (1 - threshold)) + 0.15
-        once_more = compared.where((F.col("near") >= NEAR) & near).join(saved(between, "path-open"), "path", "left_semi")
-        again = compared.where(F.col("near") < NEAR).unionByName(once_more)
+        near = F.col("near") <= 1 - (1 - least - (1 - threshold)) + 0.15
+        once_more = compared.where((F.col("near") >= least) & near).join(saved(between, "path-open"), "path", "left_semi")
+        again = compared.where(F.col("near") < least).unionByName(once_more)
         level = saved(again.mapInPandas(split, "path long, digest string"), f"path-{depth + 1}")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
@@ -178,7 +199,7 @@ def _candidates(points: DataFrame, threshold: float, recall: float) -> DataFrame
         members = members.unionByName(rows.withColumns({"i": lone, "j": lone, "side": F.lit(-1)}))
     keys = ["path", "i", "j"]
     ordered = members.repartition(*keys).sortWithinPartitions(*keys)
-    edges = ordered.mapInPandas(lambda frames: _forest(runs(frames, keys)), "a string, b string")
+    edges = ordered.mapInPandas(lambda frames: _forest(runs(frames, keys), threshold), "a string, b string")
     for rows in found:
         edges = edges.union(rows)
     return edges.where("a != b").distinct()

@@ -168,6 +168,19 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert [r.n_links for r in found.orderBy("doc_id").collect()] == links
 
 
+def test_runs_keep_the_recall_when_all_levels_split():
+    number, depth = jaccard_join.run_count(), jaccard_join.DEPTH
+    draw = np.random.default_rng(5)
+    shared = draw.binomial(jaccard_join.SKETCH, 0.8, 20_000)
+    met = np.zeros(len(shared), bool)
+    for _ in range(number):
+        alive = np.ones(len(shared), np.int64)
+        for _ in range(depth + 1):  # every bucket that the pair shares, by the tokens that both choose there
+            alive = draw.binomial(alive * shared, 1 / (0.8 * jaccard_join.SKETCH))
+        met |= alive > 0
+    assert (~met).mean() <= 0.0018  # 0.001, and 3.5 times its spread
+
+
 def test_compact_windows_cover_every_subsequence():
     draw = np.random.default_rng(5)
     values = draw.integers(0, 12, 60).astype(np.uint64)
