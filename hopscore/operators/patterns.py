@@ -70,15 +70,30 @@ def triple_select(triples: DataFrame, patterns: list[Pattern], select: list[str]
 
 
 def triple_ask(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """One row, ``result``: whether the patterns match at all."""
-    variables = sorted(set().union(*map(_variables, patterns)))
-    if variables:
-        found = triple_select(triples, patterns, ["?" + variables[0]], distinct=True).limit(1)
-    else:
-        found = _any(triples, patterns[0])
-        for pattern in patterns[1:]:
-            found = found.join(_any(triples, pattern), how="left_semi")
-    return found.agg((F.count(F.lit(1)) > 0).alias("result"))
+    """One row, ``result``: whether the patterns match at all.
+
+    A pattern that brings no variable a later one needs is a semi join, and nothing is made distinct but the needed columns of one
+    pattern, so the first row of the last join ends its task.
+    """
+    open_patterns = _join_order([p for p in patterns if _variables(p)])
+    found, bound = None, set()
+    for i, pattern in enumerate(open_patterns):
+        later = set().union(*map(_variables, open_patterns[i + 1 :]))
+        own = _variables(pattern)
+        matches = _matches(triples, pattern, later | bound)
+        if found is None:
+            found = matches if matches.columns else matches.select(F.lit(True).alias("known"))
+        elif own & later <= bound:
+            found = found.join(matches, sorted(own & bound), "left_semi")
+        else:
+            found = found.join(matches.distinct() if len(matches.columns) < len(own) else matches, sorted(own & bound))
+        bound = (bound | own) & later
+        found = found.select(*sorted(bound)) if bound else found
+    for pattern in patterns:
+        if not _variables(pattern):
+            known = _any(triples, pattern)
+            found = known if found is None else found.join(known, how="left_semi")
+    return found.limit(1).agg((F.count(F.lit(1)) > 0).alias("result"))
 
 
 def _any(triples: DataFrame, constant: Pattern) -> DataFrame:
