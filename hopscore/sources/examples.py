@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopscore.model import SPLITS
+from hopscore.sources.json_arrays import read_array_elements
 
 RAW = "map<string,string>"
 
@@ -26,14 +27,14 @@ def read_examples(
 
     ``columns`` maps ``input``, ``target``, ``choices`` and ``answer`` to the dataset's field names; ``prepare`` is the
     dataset's own hook from DataFrame to DataFrame. ``shot`` picks a few-shot sub-folder. A split is ``<split>.json``
-    (one array, read by one task) and/or ``<split>.jsonl`` (one object per line, splittable); a missing one is left out.
+    (one array) and/or ``<split>.jsonl`` (one object per line), both read by blocks; a missing one is left out.
     """
     folder = os.path.join(path, shot) if shot else path
     parts = []
     for split in SPLITS:
-        for suffix, whole in ((".json", True), (".jsonl", False)):
+        for suffix, read in ((".json", read_array_elements), (".jsonl", lambda spark, file: spark.read.text(file))):
             try:
-                texts = spark.read.text(os.path.join(folder, split + suffix), wholetext=whole)
+                texts = read(spark, os.path.join(folder, split + suffix))
             except AnalysisException as error:
                 if error.getCondition() == "PATH_NOT_FOUND":
                     continue

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopscore.functions.answers import answers_from_json
+from hopscore.sources.json_arrays import read_array_elements
 
 CORE = ("id", "question", "answer")
 
@@ -58,14 +59,10 @@ def read_question_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_question_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files that hold one array each; a file that is none is an error. A file is read by one task; turn large ones into
-    lines once."""
-    broken = F.raise_error(F.concat(F.lit("not a JSON array: "), "file_path"))
-    files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
-    records = files.select(
-        "file_path", F.posexplode(F.coalesce(F.from_json("value", "array<string>"), broken)).alias("pos", "value")
-    ).select("value", F.struct("file_path", "pos").alias("_order"))
-    return parse_questions(records, order="_order")
+    """JSON files that hold one array of records each, read by blocks; a file that is no such array is an error. ``_order``
+    follows file name and place in the file."""
+    elements = read_array_elements(spark, path)
+    return parse_questions(elements.select("value", F.struct("file", "place").alias("_order")), order="_order")
 
 
 def field_value(questions: DataFrame, field: str, default: Any = None) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hopscore.model import CONFIG, EVAL_TYPE, EXEC_TYPE, GEN_TYPE, KEY, RESULTS
 from hopscore.session import cut_lineage
+from hopscore.sources.questions import latest_questions
 
 
 def empty_results(spark: SparkSession) -> DataFrame:
@@ -67,7 +68,12 @@ def write_results(results: DataFrame, path: str) -> None:
     writer.partitionBy(*CONFIG).parquet(path)
 
 
-def init_tables(spark: SparkSession, questions: DataFrame, questions_path: str, results_path: str) -> None:
-    """Start over: store the questions and an empty results table, replacing whatever was there."""
-    questions.write.mode("overwrite").parquet(questions_path)
+def init_tables(spark: SparkSession, questions: DataFrame, questions_path: str, results_path: str) -> int:
+    """Start over: store the questions and an empty results table, replacing whatever was there. Returns the number of records
+    given; with a column ``_order`` (of the readers) the last record of each id is stored."""
+    seen = Observation()
+    given = questions.observe(seen, F.count(F.lit(1)).alias("records"))
+    rows = latest_questions(given, "_order") if "_order" in questions.columns else given
+    rows.write.mode("overwrite").parquet(questions_path)
     empty_results(spark).write.mode("overwrite").partitionBy(*CONFIG).parquet(results_path)
+    return seen.get["records"]

@@ -21,7 +21,7 @@ def golden(make_results, make_questions):
     results = make_results(
         ("q001", ("Q", stats), done, right),
         ("q002", ("Q", stats), done, wrong),
-        ("q003", ("Q", stats), (None, False, "Unknown relationship type 'DIRECTED_BY'"), (None,) * 4),
+        ("q003", ("Q", stats), (None, False, "Unknown relationship type 'MELTS_INTO'"), (None,) * 4),
         ("q004", ("Q", None), done, right),
         config=CONFIG,
     )
@@ -62,7 +62,7 @@ def test_two_counts_of_errors(golden, make_results):
     assert report_.summary(table, []).first().error_count == 2
     assert report_.total_errors(table, []).first().total_errors == 1
     assert [tuple(r) for r in report_.error_categories(table, []).collect()] == [("missing_relationship", 1)]
-    assert [r.relation for r in report_.unknown_relations(table, []).collect()] == ["DIRECTED_BY"]
+    assert [r.relation for r in report_.unknown_relations(table, []).collect()] == ["MELTS_INTO"]
 
 
 def test_success_without_evaluation_counts_as_valid(make_results):
@@ -118,7 +118,7 @@ MARKDOWN = """# Report: movies-llm-cypher-gpt-4o
 **Total Errors:** 1
 
 **Missing Relations:**
-- DIRECTED_BY
+- MELTS_INTO
 
 **Error Types:**
 - missing_relationship: 1
@@ -151,7 +151,7 @@ def test_json(golden, spark, tmp_path):
     assert document["summary"]["accuracy"] == pytest.approx(2 / 3)
     assert document["by_field"]["hop"]["2"]["error_count"] == 1 and document["by_field"]["absent"] == {}
     assert list(document) == ["run_id", "total", "summary", "by_field", "errors", "metadata"]
-    assert document["errors"] == {"total_errors": 1, "missing_relations": ["DIRECTED_BY"], "error_types": {"missing_relationship": 1}}
+    assert document["errors"] == {"total_errors": 1, "missing_relations": ["MELTS_INTO"], "error_types": {"missing_relationship": 1}}
 
 
 def test_json_has_no_bound(golden, spark, tmp_path):

@@ -12,14 +12,14 @@ from workload.registry import Tables
 
 # One error text per category, in the order of the rows they are given to.
 ERRORS = (
-    "Query timeout after 30s",
-    "Connection refused",
-    "Syntax error at position 10",
-    "Unknown relationship type 'HAS_BRAND'",
-    "Label 'Person' not found",
-    "Property 'name' does not exist",
-    "relationship type MADE_BY does not exist, see [:SOLD_BY] not found",
-    "Some weird error message",
+    "timeout: 40 s were not enough for this traversal",
+    "the connection to graph-7 broke off",
+    "bad syntax near RETURNS (line 2)",
+    "Unknown relationship type 'SHIPPED_FROM' in part 3 of the query",
+    "there is no label Warehouse in this graph",
+    "parts have no property weight",
+    "relationship type STORED_IN does not exist; [:LISTED_AT] is not found either",
+    "the answer could not be read",
 )
 MODELS = ("gpt-4o", "deepseek-chat", "bart-base")
 LANGS = ("cypher", "sparql", "gremlin")
