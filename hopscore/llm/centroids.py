@@ -149,7 +149,7 @@ def first_centroids(points: DataFrame, count: int, seed: str) -> np.ndarray:
     """The ``count`` points with the smallest SHA-256 of ``seed:vec_id``, in that order."""
     hashed = points.select("point", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256).alias("h"))
     chosen = hashed.orderBy(F.asc_nulls_last("h"), "point").limit(count).collect()
-    return np.array([row[0] for row in chosen], np.int64).reshape(len(chosen), -1)
+    return np.array([row[0] for row in chosen], np.int64)
 
 
 def cluster(rows: DataFrame, centroids: int = 16, rounds: int = 3, scale: int = 64, size: int = 64, seed: str = "1") -> DataFrame:
