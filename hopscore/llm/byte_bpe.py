@@ -2,8 +2,9 @@
 
 A text longer than a chunk is cut into chunks that overlap. Each chunk is pre-tokenised from its own first character. The first
 chunk starts at a true boundary; a later one does not, but as a match depends only on where it starts and on what follows, the
-two agree from the first boundary on that both have in their overlap. There the text is cut. Where an overlap
-has no common boundary (one run of letters longer than the overlap), the rest of the text stays one piece. Pieces are
+two agree from the first boundary on that both have in their overlap. There the text is cut, if the character before is no white space:
+what a run of white space becomes depends on whether a word follows it, and a piece must not end in one. Where an overlap
+has no such boundary (one run of letters longer than the overlap), the rest of the text stays one piece. Pieces are
 encoded apart, each pre-token alone, and the ids and bytes of a text's pieces are put together in order.
 
 Rows of a document table: a null or empty text has no ids. Rows with a null or repeated id are encoded like any other. Equal
@@ -69,7 +70,7 @@ def cut_positions(long: DataFrame, pattern: str, chunk: int = CHUNK, overlap: in
                 found = boundaries(text, pattern)
                 heads.append([start + x for x in found if x <= overlap])
                 safe = len(text) - min(MARGIN, overlap // 4)
-                tails.append([start + x for x in found if chunk <= x < safe])
+                tails.append([start + x for x in found if chunk <= x < safe and not text[x - 1].isspace()])
             yield pd.DataFrame({"digest": frame["digest"], "start": frame["start"], "head": heads, "tail": tails})
 
     spread = long.mapInPandas(chunks, "digest string, start long, text string").repartition("digest", "start")
