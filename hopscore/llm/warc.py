@@ -9,6 +9,7 @@ same format: one or more files per task, and a list of the files of the tasks th
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,7 +36,8 @@ from hopscore.llm.storage import file_system, saved, shared_folder
 LEAST_REVISIT = 100  # bytes; smaller payloads are always written in full
 FILE_BYTES = 256 << 20
 BATCH_BYTES = 4 << 20
-LIST = "_files.json"
+#: A commit leaves a list of its files; files of the writer that no list names are of tasks that failed. Other archives are read as they are.
+OWN_LIST, OWN_FILE = re.compile(r"(^|/)_files-[0-9a-f]{32}\.json$"), re.compile(r"(^|/)part-[0-9a-f]{32}\.warc\.gz$")
 READ = 1 << 16
 
 # Names of the format.
@@ -143,13 +145,16 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, path = file_system(self.folder)
-        listed = system.get_file_info(f"{path}/{LIST}")
-        if listed.type == fs.FileType.File:
-            with system.open_input_stream(listed.path) as stream:
-                return [File(x) for x in json.loads(stream.read())]
         found = system.get_file_info(fs.FileSelector(path, recursive=True))
         prefix = self.folder[: len(self.folder) - len(path)] if self.folder.endswith(path) else ""
-        return [File(prefix + x.path) for x in found if x.type == fs.FileType.File and x.path.endswith(".warc.gz")]
+        files = [x.path for x in found if x.type == fs.FileType.File]
+        lists = [x for x in files if OWN_LIST.search(x)]
+        listed = set()
+        for one in lists:
+            with system.open_input_file(one) as stream:
+                listed.update(x.rpartition("/")[2] for x in json.loads(stream.read()))
+        wanted = [x for x in files if x.endswith(".warc.gz") and (not lists or not OWN_FILE.search(x) or x.rpartition("/")[2] in listed)]
+        return [File(prefix + x) for x in wanted]
 
     def _wanted(self, row: dict[str, str | None]) -> bool:
         for name, kind, value in self.tests:
@@ -224,7 +229,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, path = file_system(self.folder)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{LIST}") as stream:
+        with system.open_output_stream(f"{path}/_files-{uuid.uuid4().hex}.json") as stream:
             stream.write(json.dumps([x for m in messages if m for x in m.files]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
