@@ -192,7 +192,7 @@ def read_ids(files: DataFrame) -> DataFrame:
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one short row per file
     based = files.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    each = based.select("file", "bytes", "base").repartition("file")
+    each = based.select("file", "bytes", "base").repartition(max(1, files.count()), "file")  # a stated number is never merged to fewer
     return each.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
