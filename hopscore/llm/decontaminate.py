@@ -28,7 +28,7 @@ from hopscore.llm.storage import saved
 from hopscore.llm.words import hash_words, in_parts, mix
 
 WIDTH, SHINGLE = 10, 5  # words of a window and of a shingle
-LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 256  # of the bitmap, and how many are wanted per shingle
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 25, 1 << 28, 4_096  # of the bitmap, and how many are wanted per shingle
 BUCKET = 1 << 15  # bits in a row of bitmap_construct_agg
 
 #: Bytes of words as they are, in lower case, and everything else as blanks; all bytes of characters beyond ASCII belong to words.
