@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from hopscore.model import EVAL_TYPE, EXEC_TYPE, GEN_TYPE, KEY, STAGES
 
 
-def _one_per_key(updates: DataFrame, value: str, order: str | None) -> DataFrame:
+def one_per_key(updates: DataFrame, value: str, order: str | None) -> DataFrame:
+    """``KEY, _new, _hit``: the update with the greatest ``order`` of each key; without ``order`` several are an error."""
     several = F.raise_error(F.lit(f"several updates of {value} to one key; name the column that orders them"))
     last = F.max_by(value, order) if order else F.when(F.count(F.lit(1)) == 1, F.any_value(value)).otherwise(several)
     return updates.groupBy(*KEY).agg(last.alias("_new"), F.lit(True).alias("_hit"))
@@ -28,7 +29,7 @@ def save_generation(results: DataFrame, updates: DataFrame, order: str | None =
     Of several updates to one key the one with the greatest ``order`` wins; without ``order`` they are an error.
     """
     hit = F.col("_hit").isNotNull()
-    joined = results.join(_one_per_key(updates, "gen", order), KEY, "full_outer")
+    joined = results.join(one_per_key(updates, "gen", order), KEY, "full_outer")
     return joined.select(
         *KEY,
         F.when(hit, F.col("_new")).otherwise(F.col("gen")).alias("gen"),
@@ -40,7 +41,7 @@ def save_generation(results: DataFrame, updates: DataFrame, order: str | None =
 def save_execution(results: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """Replace ``exec`` for the keys of ``updates`` that have a row; their ``eval`` becomes NULL."""
     hit = F.col("_hit").isNotNull()
-    joined = results.join(_one_per_key(updates, "exec", order), KEY, "left")
+    joined = results.join(one_per_key(updates, "exec", order), KEY, "left")
     return joined.select(
         *KEY,
         "gen",
@@ -51,7 +52,7 @@ def save_execution(results: DataFrame, updates: DataFrame, order: str | None = N
 
 def save_evaluation(results: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """Replace ``eval`` for the keys of ``updates`` that have a row."""
-    joined = results.join(_one_per_key(updates, "eval", order), KEY, "left")
+    joined = results.join(one_per_key(updates, "eval", order), KEY, "left")
     return joined.select(
         *KEY, "gen", "exec", F.when(F.col("_hit").isNotNull(), F.col("_new")).otherwise(F.col("eval")).alias("eval")
     )

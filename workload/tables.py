@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from hopscore.model import EVAL_TYPE, EXEC_TYPE, GEN_TYPE, KEY, STAGES, STATS_TYPE
 from hopscore.operators import selection, staging
 from hopscore.sources import questions as question_source
+from hopscore.session import shared_path
 from hopscore.sources import results as result_source
+from hopscore.sources.result_store import ResultStore
 from workload import views
 from workload.registry import Tables, query
 
@@ -349,3 +351,41 @@ def clear_evaluation(t: Tables) -> DataFrame:
 @query(f"{WITH_RESULTS} SELECT count(*) AS cleared FROM results WHERE {SQL_CONFIG}")
 def cleared_rows(t: Tables) -> DataFrame:
     return staging.cleared_rows(views.results(t), *CONFIG)
+
+
+@query(
+    f"""{WITH_RESULTS}, numbered AS (
+      SELECT *, CAST(question_id AS BIGINT) % 100 AS k, CAST(question_id AS BIGINT) % 200 = 2 AS scored, {SQL_CONFIG} AS cleared FROM results),
+    changed AS (
+      SELECT question_id, method, lang, model, CASE WHEN k = 1 THEN 'again' ELSE query END AS query,
+        CASE WHEN k <> 1 THEN duration END AS duration, CASE WHEN k <> 1 THEN input_tokens END AS input_tokens,
+        CASE WHEN k <> 1 THEN output_tokens END AS output_tokens, CASE WHEN k <> 1 THEN cached_tokens END AS cached_tokens,
+        CASE WHEN k IN (1, 2) THEN true WHEN NOT cleared THEN success END AS success,
+        CASE WHEN k NOT IN (1, 2) AND NOT cleared THEN error END AS error,
+        CASE WHEN k IN (1, 2) THEN 'new' WHEN NOT cleared THEN array_to_string(list_sort(result), '|') END AS answers,
+        scored OR (k NOT IN (1, 2) AND NOT cleared AND evaluated) AS evaluated,
+        CASE WHEN scored THEN 0.25 WHEN k NOT IN (1, 2) AND NOT cleared AND evaluated THEN 0.5 END AS f1
+      FROM numbered)
+    SELECT * FROM changed
+    UNION ALL SELECT 'n' || c_custkey, 'llm', 'cypher', 'gpt-4o', 'first', NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, NULL
+      FROM customer WHERE c_custkey % 10 = 0"""
+)
+def merged_results(t: Tables) -> DataFrame:
+    """Generations, a clear, executions and evaluations saved as changes, and read merged with the results they change."""
+    results = views.results(t)
+    store = ResultStore.create(results, shared_path(t.spark, "result-store"))
+    number = F.col("question_id").try_cast("bigint")
+    keys = results.select(*KEY)
+    nothing = F.lit(None).cast(STATS_TYPE)
+    again = keys.filter(number % 100 == 1).select(*KEY, F.struct(F.lit("again").alias("query"), nothing.alias("stats")).alias("gen"))
+    config = [F.lit(v).alias(c) for c, v in zip(("method", "lang", "model"), CONFIG)]
+    ids = t.customer.filter(F.col("c_custkey") % 10 == 0).select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("question_id"), *config)
+    first = ids.select(*KEY, F.struct(F.lit("first").alias("query"), nothing.alias("stats")).alias("gen"))
+    store.save_generation(again.unionByName(first))
+    store.clear_stage(*CONFIG, "exec")
+    done = F.struct(F.array(F.lit("new")).alias("result"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+    lost = keys.limit(1).withColumn("question_id", F.lit("not there"))  # no result: an execution alone inserts none
+    store.save_execution(keys.filter((number % 100).isin(1, 2)).unionByName(lost).select(*KEY, done.alias("exec")))
+    scores = F.struct(*[F.lit(0.25).alias(name) for name in EVAL_TYPE.names])
+    store.save_evaluation(keys.filter(number % 200 == 2).select(*KEY, scores.alias("eval")))
+    return flat(store.merged())
