@@ -161,6 +161,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end
                         writer = IdsWriter(stream, width)
                     ids = ids if end_id is None else np.append(ids, np.uint32(end_id))
                     writer.add(None if pd.isna(key) else int(key), ids)
+        tokens.forget()
         if writer is not None:
             writer.close()
             stream.close()

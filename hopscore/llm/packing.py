@@ -151,6 +151,7 @@ def pack_documents(
                 if len(rows) > 10_000:
                     yield table(rows)
                     rows = []
+        tokens.forget()
         rows.extend(packer.finish())
         if rows:
             yield table(rows)

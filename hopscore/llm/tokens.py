@@ -13,8 +13,8 @@ from array import array
 
 import numpy as np
 
-ENTRIES = 250_000  # pieces in each of the two generations that a worker remembers
-PIECE = 64  # longer pieces are not remembered
+ENTRIES = 60_000  # pieces in each of the two generations that a worker remembers, each of at most about 700 bytes
+PIECE = 64  # characters; longer pieces are not remembered
 
 # White space by Unicode or by Python other than space and line feed, and the mark of a text's first piece.
 OTHER = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
@@ -94,6 +94,11 @@ class Encoder:
         return out
 
 
+    def forget(self) -> None:
+        """Give the memory of pieces back; called at the end of a partition, as idle workers stay."""
+        self.young, self.old = {}, {}
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _loaded:
