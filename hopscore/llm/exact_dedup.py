@@ -4,24 +4,30 @@ Rows of a document table: a null text counts as empty; texts are equal when thei
 largest id stays; rows that repeat id and text are the same document, and all of them count and carry the same result. A
 null id loses against any other; a group with null ids only keeps them. Other columns are not read.
 
-The index has one entry for each distinct text, under the 64-bit hash of its bytes. A bucket is a prefix of that hash; while a
-bucket has more entries than ``capacity`` the directory doubles for it, that is, its prefix grows by one bit. Files are written by
-ranges of the hash, one owner task for each. Entries of equal hash are chained in their bucket. Texts are compared byte by
-byte, as keys of an aggregation that merges equal ones before the shuffle.
+The index has one entry for each distinct text, under the 64-bit hash of its bytes. A bucket is a prefix of that hash. While a bucket has
+more than ``capacity`` hashes it splits, that is, its prefix grows by one bit; where a prefix outgrows the directory, the directory doubles. Its
+places point to buckets, and every row, when the index is built as well as when it is read, goes to its bucket by the place of its hash. The owner
+task of a bucket chains the texts of equal hash and decides groups: hashes and digests travel first, and only texts whose digest occurs
+several times follow, merged per task, to be compared byte by byte. A lookup meets the entries of its bucket and hash only.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopscore.llm.storage import discard, saved
 
-CAPACITY = 50_000
-BITS = 63
+CAPACITY = 50_000  # hashes in a bucket
+DEEPEST = 24  # bits of the directory at most: 2**24 places of 50,000 hashes; with such a directory buckets grow instead
+FEW_BYTES = 64 << 20  # most measured bytes of repeated digests that are broadcast, so that no other text is shuffled
+ENTRY_BYTES = 64  # of a broadcast hash and digest
+
+BUCKET = ["depth", "slot"]
 
 
 def _rows(docs: DataFrame, hashed: Callable[[Column], Column], carried: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -34,70 +40,90 @@ def _slot(depth: int) -> Column:
     return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def _split_buckets(entries: DataFrame, capacity: int) -> DataFrame:
-    """``(depth, slot, bucket_entries)``: the directory, as the buckets that no longer split."""
-    total = entries.count()
-    depth = max(0, math.ceil(math.log2(max(1, total) / capacity)))
-    pending, directory = entries.select("key"), None
-    while True:
-        loads = saved(pending.groupBy(_slot(depth).alias("slot")).agg(F.count("*").alias("bucket_entries")), "bucket-loads")
-        overfull = loads.where(F.col("bucket_entries") > capacity) if depth < BITS else loads.limit(0)
-        closed = loads if depth >= BITS else loads.where(F.col("bucket_entries") <= capacity)
-        closed = closed.select(F.lit(depth).alias("depth"), "slot", "bucket_entries")
-        directory = closed if directory is None else directory.unionByName(closed)
-        if overfull.isEmpty():
-            return directory
-        pending = pending.withColumn("slot", _slot(depth)).join(overfull.select("slot"), "slot", "left_semi").select("key")
-        depth += 1
+@dataclass
+class Index:
+    """``entries``: ``depth, slot, key, chain, digest, text, keep_id, group_size``, one row for each distinct text, in files of the owners.
+    ``places``: ``place, depth, slot``, the directory of ``2**bits`` places."""
+
+    entries: DataFrame
+    places: DataFrame
+    bits: int
 
+    def routed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the bucket that the directory sends their hash to."""
+        return rows.withColumn("place", _slot(self.bits)).join(self.places, "place").drop("place")
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """``(depth, slot, key, chain, digest, keep_id, group_size)``: one row for each distinct text, in files ordered by hash.
 
-    ``chain`` numbers the texts of one hash from 0. ``digest`` is null in the entries of texts that share both hashes
-    with another text; they carry their ``text``, which is null elsewhere.
-    """
+def split_buckets(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """The directory of distinct hashes (column ``key``) and its bits. In each round the overfull buckets split and the directory doubles."""
+    bits, pending, closed = 0, keys.select("key"), []
+    while True:
+        loads = saved(pending.groupBy(_slot(bits).alias("slot")).agg(F.count("*").alias("keys")), "bucket-loads")
+        overfull = loads.where(F.col("keys") > capacity) if bits < DEEPEST else loads.limit(0)
+        done = loads.where(F.col("keys") <= capacity) if bits < DEEPEST else loads
+        closed.append(done.select(F.lit(bits).alias("depth"), "slot"))
+        if overfull.isEmpty():
+            break
+        pending = pending.withColumn("slot", _slot(bits)).join(overfull.select("slot"), "slot", "left_semi").select("key")
+        bits += 1
+    buckets = reduce(DataFrame.unionByName, closed)
+    wide = F.lit(bits) - F.col("depth")
+    first, end = F.call_function("shiftleft", F.col("slot"), wide), F.call_function("shiftleft", F.col("slot") + 1, wide)
+    return saved(buckets.select(F.explode(F.sequence(first, end - 1)).alias("place"), *BUCKET), "directory"), bits
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY, hashed: Callable[[Column], Column] = F.xxhash64) -> Index:
+    """Entries of all texts. ``chain`` numbers the texts of one hash from 0. ``digest`` is null in the entries of texts that share
+    hash and digest with another text; they carry their ``text``, which is null elsewhere."""
     rows = _rows(docs, hashed)
-    merged = rows.groupBy("key", "digest", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    compared = saved(merged.drop("text"), "index-entries")  # equal texts are merged in each task, before the shuffle
-    clashing = compared.groupBy("key", "digest").agg(F.count("*").alias("texts")).where("texts > 1").select("key", "digest")
-    clashing = saved(clashing, "index-clashes")
-    entries = compared.withColumn("text", F.lit(None).cast("string"))
-    if not clashing.isEmpty():
-        chained = merged.join(clashing, ["key", "digest"], "left_semi").withColumn("digest", F.lit(None).cast("binary"))
-        entries = entries.join(clashing, ["key", "digest"], "left_anti").unionByName(chained)
-    directory = _split_buckets(entries, capacity)
-    depths = [row.depth for row in directory.select("depth").distinct().collect()]  # at most one row per bit
-    placed = None
-    for depth in depths:
-        here = entries.withColumn("slot", _slot(depth)).join(
-            directory.where(F.col("depth") == depth).select("depth", "slot"), "slot"
-        )
-        placed = here if placed is None else placed.unionByName(here)
-    if placed is None:
-        placed = entries.withColumns({"depth": F.lit(0), "slot": F.lit(0).cast("long")})
-    collisions = entries.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    alone = placed.join(collisions, "key", "left_anti").withColumn("chain", F.lit(0).cast("long"))
-    chain = F.expr("row_number() over (partition by key order by digest, text) - 1").cast("long")
-    together = placed.join(collisions, "key", "left_semi").withColumn("chain", chain)
-    columns = ["depth", "slot", "key", "chain", "digest", "text", "keep_id", "group_size"]
-    index = alone.select(columns).unionByName(together.select(columns))
-    index = saved(index.repartitionByRange("key", "chain").sortWithinPartitions("key", "chain"), "index")
-    discard(compared, clashing, directory)
+    seen = rows.groupBy("key", "digest").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    seen = saved(seen, "index-seen")  # merged in each task before the shuffle: hashes, digests and ids, no text
+    places, bits = split_buckets(seen.select("key").distinct(), capacity)
+    index = Index(seen, places, bits)
+    routed = index.routed(seen)
+    single = routed.where("group_size = 1").withColumn("text", F.lit(None).cast("string"))
+    repeated = routed.where("group_size > 1").select(*BUCKET, "key", "digest")
+    few = repeated.count() * ENTRY_BYTES <= FEW_BYTES
+    again = rows.join(F.broadcast(repeated) if few else repeated, ["key", "digest"])
+    texts = again.groupBy(*BUCKET, "key", "digest", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    # Owners: all entries of a bucket meet in one task, which chains them; equal texts have become one entry on the way.
+    same = Window.partitionBy(*BUCKET, "key", "digest")
+    compared = texts.withColumn("clash", F.count("*").over(same) > 1)
+    compared = compared.withColumns(
+        {"digest": F.when(~F.col("clash"), F.col("digest")), "text": F.when(F.col("clash"), F.col("text"))}
+    )
+    columns = [*BUCKET, "key", "digest", "text", "group_size", "keep_id"]
+    entries = compared.select(columns).unionByName(single.select(columns)).repartition(*BUCKET)
+    order = Window.partitionBy(*BUCKET, "key").orderBy("digest", "text")
+    chained = entries.withColumn("chain", (F.row_number().over(order) - 1).cast("long"))
+    index.entries = saved(chained.sortWithinPartitions(*BUCKET, "key", "chain"), "index")
+    discard(seen)
     return index
 
 
-def _found(docs: DataFrame, index: DataFrame, hashed: Callable[[Column], Column], carried: Sequence[str]) -> DataFrame:
-    """Every row with the entry of its text where that stands for several rows; joins that adaptive execution can split."""
-    rows = _rows(docs, hashed, carried)
+def _found(docs: DataFrame, index: Index, hashed: Callable[[Column], Column], carried: Sequence[str]) -> DataFrame:
+    """Every row with the entry of its text where that stands for several rows: from its bucket, by hash and digest, or by its text in the
+    chain of a hash where digests do not tell. Joins that adaptive execution can split."""
+    rows = index.routed(_rows(docs, hashed, carried))
     columns = ["carried", "doc_id", "digest", "keep_id", "group_size"]
-    groups = index.where("group_size > 1 and digest is not null").select("key", "digest", "keep_id", "group_size")
-    chained = index.where("digest is null").select("key", "text", "keep_id", "group_size")
+    held = index.entries.where("group_size > 1 or digest is null")
+    groups = held.where("digest is not null").select(*BUCKET, "key", "digest", "keep_id", "group_size")
+    chained = held.where("digest is null").select(*BUCKET, "key", "text", "keep_id", "group_size")
     if chained.isEmpty():
-        return rows.drop("text").join(groups, ["key", "digest"], "left").select(columns)
-    names = chained.select("key", "text")
-    alone = rows.join(names, ["key", "text"], "left_anti").drop("text").join(groups, ["key", "digest"], "left")
-    return alone.select(columns).unionByName(rows.join(chained, ["key", "text"]).select(columns))
+        return rows.drop("text").join(groups, [*BUCKET, "key", "digest"], "left").select(columns)
+    names = chained.select(*BUCKET, "key", "text")
+    alone = rows.join(names, [*BUCKET, "key", "text"], "left_anti").drop("text").join(groups, [*BUCKET, "key", "digest"], "left")
+    return alone.select(columns).unionByName(rows.join(chained, [*BUCKET, "key", "text"]).select(columns))
+
+
+def lookup(index: Index, text: str, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """The entry of one text, if it has one: its bucket is found in the directory, and only entries of that bucket and hash are read."""
+    spark = index.entries.sparkSession
+    asked = index.routed(_rows(spark.createDataFrame([(None, text)], "doc_id long, text string"), hashed)).first()
+    if asked is None:
+        return index.entries.limit(0)
+    here = index.entries.where((F.col("depth") == asked.depth) & (F.col("slot") == asked.slot) & (F.col("key") == asked.key))
+    return here.where((F.col("digest") == F.lit(bytes(asked.digest))) | (F.col("digest").isNull() & (F.col("text") == text)))
 
 
 def _stays() -> Column:

@@ -109,10 +109,46 @@ def test_exact_duplicates(odd, empty):
     assert kept.columns == odd.columns and sorted(r.text or "" for r in kept.dropDuplicates(["text"]).collect()) == sorted({t for _, t in texts})
 
 
-def test_index_buckets_split(plain):
+def test_index_buckets_split(spark, plain):
     index = exact_dedup.build_index(plain, capacity=3)
-    sizes = [r["count"] for r in index.groupBy("depth", "slot").count().collect()]
+    sizes = [r["count"] for r in index.entries.groupBy("depth", "slot").count().collect()]
     assert max(sizes) <= 3 and sum(sizes) == plain.select("text").distinct().count()
+    places = {r.place: (r.depth, r.slot) for r in index.places.collect()}
+    assert sorted(places) == list(range(2**index.bits)) and index.bits > 2  # doubled, and every place points to a bucket
+    assert all(slot == place >> (index.bits - depth) for place, (depth, slot) in places.items())
+    assert len({depth for depth, _ in places.values()}) > 1
+
+
+def test_a_lookup_reads_its_bucket_only(spark, plain):
+    index = exact_dedup.build_index(plain, capacity=3)
+    for row in plain.limit(5).collect():
+        (entry,) = exact_dedup.lookup(index, row.text).collect()
+        assert (entry.keep_id, entry.group_size) == (row.doc_id, 1)
+        assert index.entries.where((F.col("depth") == entry.depth) & (F.col("slot") == entry.slot)).count() <= 3
+    assert exact_dedup.lookup(index, "no such text").count() == 0
+    # What the directory says decides: with the places of two buckets exchanged, their texts are not found.
+    first, second = index.entries.select("depth", "slot").distinct().orderBy("depth", "slot").take(2)
+    swapped = index.places.withColumns(
+        {
+            name: F.when((F.col("depth") == first.depth) & (F.col("slot") == first.slot), second[name])
+            .when((F.col("depth") == second.depth) & (F.col("slot") == second.slot), first[name])
+            .otherwise(F.col(name)).cast(kind)
+            for name, kind in (("depth", "int"), ("slot", "long"))
+        }
+    )
+    lost = exact_dedup.Index(index.entries, swapped, index.bits)
+    here = index.entries.where((F.col("depth") == first.depth) & (F.col("slot") == first.slot)).select("keep_id").collect()
+    text = plain.where(F.col("doc_id") == here[0].keep_id).first().text
+    assert exact_dedup.lookup(index, text).count() == 1 and exact_dedup.lookup(lost, text).count() == 0
+
+
+def test_only_repeated_texts_are_shuffled(spark):
+    rows = [(i, f"{i} " + "long text " * 400) for i in range(200)] + [(900 + i, "twice " * 300) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.build_index(docs)
+    assert index.entries.where("text is not null").count() == 0
+    found = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert found[905] == (919, 20) and found[7] == (7, 1)
 
 
 @pytest.mark.parametrize("chunk,overlap", [(32_768, 1_024), (300, 60)])
