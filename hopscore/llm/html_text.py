@@ -2,12 +2,12 @@
 
 A page is read as blocks of text, each under its root-to-leaf path of block tags (inline tags do not count). For every path of a
 page the length, punctuation, linked characters and number of its blocks are summed; the ratios per block are smoothed over
-the neighbouring blocks, fused into one score and compared with a threshold of the page. The least element that holds all blocks
-that reach it bounds the result. All blocks of the articles in it are kept, or of itself where it is no whole page: short
-paragraphs, headings and lists of links are not dropped. Elsewhere blocks that reach the threshold are kept, and what lies between them.
-Invisible elements and navigation, footers and asides never hold content. Forms, roles and words in class or id that name
-something else (menus, adverts, comments ...) are evidence: such an element is left out unless it is also named as content, holds most of the
-prose of a page that has no article elsewhere, or, for words that may be of the article itself, is prose within the article.
+the neighbouring blocks and fused into one score with a term for the elements around a block: navigation, footers and asides weigh
+little, and so do forms, roles and words in class or id that name something else (menus, adverts, comments ...), unless the element is also named
+as content, holds most of the prose of a page that has no article elsewhere, or, for words that may be of the article itself, is prose
+within the article. The score of a block is compared with a threshold of the page: what reaches it is content, whatever its tags are
+called. The least element that holds all content bounds the result; in it, short blocks such as headings and labels are
+kept that are no content by themselves, if no term speaks against them. Only invisible elements are never read.
 
 Rows of a page table: a null or empty html gives an empty text. Each row is extracted by itself, so that null or repeated ids
 stay as they are. Other columns are not read.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,10 +47,10 @@ CLOSED_BY = {
 }
 SCOPES = frozenset("ul ol dl table select menu".split())
 # Elements, roles and words in class or id that mark something other than the article.
-OTHER_TAGS = frozenset(
-    "nav footer aside form script style noscript template button select textarea input iframe object svg canvas head title dialog "
-    "menu search noembed noframes audio video map datalist".split()
+UNSEEN_TAGS = frozenset(
+    "script style noscript template select textarea iframe object svg canvas head title noembed noframes audio video map datalist".split()
 )
+OTHER_TAGS = frozenset("nav footer aside form button dialog menu search".split())
 OTHER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
 )
@@ -65,6 +65,8 @@ OTHER_WORDS = frozenset(
 WEAK_WORDS = frozenset("alert copyright disclaimer hidden legal notice notices related recommended sharing skip social tags".split())
 MODIFIERS = frozenset("has have no not with without".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLES = ("article", "main")
 PROSE = 40  # characters of a block that is more than a label
 PUNCTUATION = re.compile("[.,;:!?…。，、；：！？؟،]")
 
@@ -79,19 +81,35 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: The term of the score for elements that are no part of an article by their tag, and for elements left out after a second look.
+OTHER_TERM, DOUBT_TERM = 0.02, 0.1
+
+
 class Block:
-    """A run of text between block tags: its path, the elements above it, its linked characters and the doubtful elements above."""
+    """A run of text between block tags: the number of its path and of its innermost element, its linked characters, whether it stands
+    in an article, in an element named as content, or in one that holds no article by its tag."""
 
-    __slots__ = ("doubts", "elements", "linked", "path", "text")
+    __slots__ = ("article", "content", "element", "leaf", "linked", "other", "path", "text")
 
-    def __init__(self, path: tuple[str, ...], elements: tuple[int, ...], text: str, linked: int, doubts: tuple[tuple[int, str], ...]):
-        self.path, self.elements, self.text, self.linked, self.doubts = path, elements, text, linked, doubts
+    def __init__(self, path: int, leaf: str, element: int, text: str, linked: int, article: bool, content: bool, other: bool):
+        self.path, self.leaf, self.element, self.text, self.linked = path, leaf, element, text, linked
+        self.article, self.content, self.other = article, content, other
 
     def prose(self) -> int:
         """Characters without a link, where the text has punctuation."""
         return max(0, len(self.text) - self.linked) if PUNCTUATION.search(self.text) else 0
 
 
+class Element:
+    """An element of a page: its tag, what it stands in, and the first and last of its blocks."""
+
+    __slots__ = ("end", "first", "kind", "named", "parent", "tag", "under_content")
+
+    def __init__(self, tag: str, parent: int, kind: str, first: int, named: bool, under_content: bool):
+        self.tag, self.parent, self.kind, self.first, self.end = tag, parent, kind, first, None
+        self.named, self.under_content = named, under_content
+
+
 def _named(value: str) -> tuple[set[str], bool]:
     """The words of a class or id that name something other than the article, and whether a name in it is one of content."""
     value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
@@ -100,11 +118,12 @@ def _named(value: str) -> tuple[set[str], bool]:
     return {word for name in names for word in name if word in OTHER_WORDS}, any(CONTENT_WORDS.issuperset(name) for name in names)
 
 
-def _kind(tag: str, attributes: str, above: list[str]) -> tuple[str, bool]:
-    """``other`` for an element that never holds the article, ``strong`` or ``weak`` for a doubtful one, or an empty text; and whether its
-    class or id names it as content."""
-    if (tag in OTHER_TAGS and tag != "form") or (tag == "header" and "article" not in above and "main" not in above):
-        return "other", False
+def _kind(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
+    """``none`` for an invisible element, ``other`` for one that holds no article by its tag, ``strong`` or ``weak`` for a doubtful one, or an
+    empty text; and whether its class or id names it as content."""
+    if tag in UNSEEN_TAGS:
+        return "none", False
+    other = (tag in OTHER_TAGS and tag != "form") or (tag == "header" and not in_article)
     kind, content, words = "strong" if tag == "form" else "", False, set()
     for match in _ATTRIBUTE.finditer(attributes):
         name = match[1].lower()
@@ -119,54 +138,82 @@ def _kind(tag: str, attributes: str, above: list[str]) -> tuple[str, bool]:
         elif name == "role" and value.lower() in OTHER_ROLES:
             kind = "strong"
         elif (name == "style" and _HIDDEN.search(value)) or (name == "aria-hidden" and value.lower() == "true"):
-            return "other", False
+            return "none", False
     if tag in ("html", "body", "main"):
         return "", content
     if re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        return "none", False
+    if other:
         return "other", False
     if words and not content and not kind:
         kind = "weak" if words <= WEAK_WORDS else "strong"
     return kind, content
 
 
-def parse(page: str) -> tuple[list[Block], set[int]]:
-    """The blocks of a page in order, without those of elements that never hold content, and the elements named as content."""
+def parse(page: str) -> tuple[list[Block], list[Element]]:
+    """The blocks of a page in order, without those of invisible elements, and its elements in the order in which they open. Time and
+    memory grow with the page, however deep it nests: a path is a number, made of its parent's and a tag."""
     blocks: list[Block] = []
-    doubts: list[tuple[int, str] | None] = []  # of the open elements
-    contents: set[int] = set()
+    elements: list[Element] = []
+    paths: dict[tuple[int, str], int] = {}
     tags: list[str] = []  # open elements, inline ones too
-    numbers: list[int] = []
-    skipped = 0  # open elements from the outermost one that is skipped on; 0: none
+    numbers: list[int] = []  # and their numbers; -1 for inline ones
+    above: list[tuple[int, int, str]] = []  # number of the path, innermost element and block tag, up to each open element
+    opened: Counter[str] = Counter()
+    state = Counter()  # open links, articles, elements named as content, and elements of another kind
+    unseen = 0  # open elements from the outermost one that is invisible on; 0: none
     parts: list[str] = []
-    linked, links, count, at, size = 0, 0, 0, 0, len(page)
+    linked, at, size = 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                outer = [i for i, tag in enumerate(tags) if tag not in INLINE]
-                path, elements = tuple(tags[i] for i in outer), tuple(numbers[i] for i in outer)
-                blocks.append(Block(path, elements, text, linked, tuple(x for x in doubts if x)))
+                path, element, leaf = above[-1] if above else (0, -1, "")
+                blocks.append(Block(path, leaf, element, text, linked, state["article"] > 0, state["content"] > 0, state["other"] > 0))
             parts.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
-        if not skipped:
+        if not unseen:
             parts.append(text)
-            linked += len(text) if links else 0
+            linked += len(text) if state["a"] else 0
+
+    def marks(number: int) -> Iterator[str]:
+        element = elements[number]
+        if element.tag in ("article", "main"):
+            yield "article"
+        if element.named:
+            yield "content"
+        if element.kind == "other":
+            yield "other"
 
     def close(to: int) -> None:
-        nonlocal links, skipped
-        if any(tag not in INLINE for tag in tags[to:]) or any(doubts[to:]):
+        nonlocal unseen
+        if any(n >= 0 for n in numbers[to:]):
             flush()
-        links -= tags[to:].count("a")
-        del tags[to:], numbers[to:], doubts[to:]
-        if skipped and len(tags) < skipped:
-            skipped = 0
+        for tag, number in zip(tags[to:], numbers[to:], strict=True):
+            opened[tag] -= 1
+            state["a"] -= tag == "a"
+            if number >= 0:
+                elements[number].end = len(blocks)
+                state.subtract(marks(number))
+        del tags[to:], numbers[to:], above[to:]
+        if unseen and len(tags) < unseen:
+            unseen = 0
             parts.clear()
 
+    def last(wanted: frozenset[str] | set[str], until: frozenset[str] = frozenset()) -> int:
+        """The innermost open element of some tags, or -1 if there is none before one of ``until``."""
+        for i in range(len(tags) - 1, -1, -1):
+            if tags[i] in wanted:
+                return i
+            if tags[i] in until:
+                break
+        return -1
+
     while at < size:
         match = _TOKEN.search(page, at)
         if match is None:
@@ -181,74 +228,86 @@ def parse(page: str) -> tuple[list[Block], set[int]]:
             continue
         tag = match[2].lower()
         if match[1]:
-            if tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+            if opened[tag]:
+                close(last({tag}))
             elif tag in ("p", "br"):
                 flush()
             continue
         if tag == "br":
             say(" ")
             continue
-        if tag in CLOSES_P and "p" in tags:
-            close(len(tags) - 1 - tags[::-1].index("p"))
-        if tag in CLOSED_BY:
-            scope = max((i for i, t in enumerate(tags) if t in SCOPES), default=-1)
-            ends = [i for i in range(scope + 1, len(tags)) if tags[i] in CLOSED_BY[tag]]
-            if ends:
-                close(ends[0])
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tags and tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in CLOSES_P and opened["p"]:
+            close(last({"p"}))
+        if tag in CLOSED_BY and any(opened[t] for t in CLOSED_BY[tag]):
+            ends = last(CLOSED_BY[tag], SCOPES)
+            while ends >= 0:  # the outermost of them in its list or table
+                close(ends)
+                ends = last(CLOSED_BY[tag], SCOPES) if any(opened[t] for t in CLOSED_BY[tag]) else -1
+        elif tag in HEADINGS and tags and tags[-1] in HEADINGS:
             close(len(tags) - 1)
         if tag not in INLINE:
             flush()
         if tag in VOID:
             continue
-        count += 1
-        kind, content = ("", False) if skipped else _kind(tag, match[3], tags)
+        kind, named = ("", False) if unseen else _kind(tag, match[3], state["article"] > 0)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if match[3].endswith("/") and "svg" in tags:
+        if match[3].endswith("/") and opened["svg"]:
             continue
         if kind:
             flush()
-        if kind == "other":
-            skipped = len(tags) + 1
-        if content or tag in ("article", "main"):
-            contents.add(count)
+        path, parent, leaf = above[-1] if above else (0, -1, "")
+        if tag in INLINE and not kind:
+            numbers.append(-1)
+            above.append((path, parent, leaf))
+        else:
+            if kind == "none":
+                unseen = len(tags) + 1
+            numbers.append(len(elements))
+            elements.append(Element(tag, parent, kind, len(blocks), named or tag in ("article", "main"), state["content"] > 0))
+            state.update(marks(numbers[-1]))
+            if tag not in INLINE:
+                path, leaf = paths.setdefault((path, tag), len(paths) + 1), tag
+            above.append((path, numbers[-1], leaf))
         tags.append(tag)
-        numbers.append(count)
-        doubts.append((count, kind) if kind in ("strong", "weak") else None)
-        links += tag == "a"
-    if not skipped:
+        opened[tag] += 1
+        state["a"] += tag == "a"
+    if not unseen:
         flush()
-    return blocks, contents
-
-
-def _without_doubtful(blocks: list[Block], contents: set[int]) -> list[Block]:
-    """The blocks that stand in no doubtful element, or only in such as hold content all the same; all, where none is left."""
-    spans: dict[tuple[int, str], list[int]] = {}  # an element's blocks follow each other
-    for i, block in enumerate(blocks):
-        for doubt in block.doubts:
-            spans.setdefault(doubt, [i, i])[1] = i + 1
-    prose = np.cumsum([0, *(b.prose() for b in blocks)])
-    content = [bool(contents.intersection(b.elements)) and bool(b.prose() or len(b.text) - b.linked >= PROSE) for b in blocks]
+    for element in elements:
+        element.end = len(blocks) if element.end is None else element.end
+    return blocks, elements
+
+
+def terms(blocks: list[Block], elements: list[Element]) -> np.ndarray:
+    """The term of each block for the elements around it: 1, or less where one of them is named or made for something else and does not hold
+    content all the same."""
+    seen = [not b.other for b in blocks]
+    prose = np.cumsum([0, *(b.prose() * s for b, s in zip(blocks, seen, strict=True))])
+    long = np.cumsum([0, *(b.prose() * (len(b.text) >= PROSE) * s for b, s in zip(blocks, seen, strict=True))])
+    length = np.cumsum([0, *(len(b.text) * s for b, s in zip(blocks, seen, strict=True))])
+    content = [s and b.content and bool(b.prose() or len(b.text) - b.linked >= PROSE) for b, s in zip(blocks, seen, strict=True)]
     held = np.cumsum([0, *content])
-    left_out = set()
-    for (element, kind), (first, last) in ((doubt, (a, max(a + 1, b))) for doubt, (a, b) in spans.items()):
-        own = blocks[first:last]
-        if prose[last] - prose[first] > 0.5 * prose[-1] and held[last] - held[first] == held[-1]:
+    against = np.zeros(len(blocks) + 1, np.int64)
+    for element in elements:
+        first, end = element.first, element.end
+        if element.kind not in ("strong", "weak") or end == first:
+            continue
+        if prose[end] - prose[first] > 0.5 * prose[-1] and held[end] - held[first] == held[-1]:
             continue
-        if kind == "weak" and contents.intersection(x for x in own[0].elements if x < element):
-            if 2 * sum(b.prose() for b in own if len(b.text) >= PROSE) > sum(len(b.text) for b in own):
-                continue
-        left_out.add(element)
-    return [b for b in blocks if not any(x in left_out for x, _ in b.doubts)] or blocks
+        if element.kind == "weak" and element.under_content and 2 * (long[end] - long[first]) > length[end] - length[first]:
+            continue
+        against[first] += 1
+        against[end] -= 1
+    doubtful = np.cumsum(against)[:-1] > 0
+    return np.where(seen, 1.0, OTHER_TERM) * np.where(doubtful, DOUBT_TERM, 1.0)
 
 
-def scores(blocks: list[Block]) -> np.ndarray:
-    """The fused score of every block: what its path has of text, punctuation and unlinked characters, smoothed over neighbours."""
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+def ratios(blocks: list[Block]) -> np.ndarray:
+    """Per block, of its path: characters a block, marks a block, and the linked share of its characters."""
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
     for block in blocks:
         total = sums[block.path]
         total[0] += len(block.text)
@@ -256,46 +315,53 @@ def scores(blocks: list[Block]) -> np.ndarray:
         total[2] += min(block.linked, len(block.text))
         total[3] += 1
     found = np.array([sums[block.path] for block in blocks])
-    ratios = found[:, :2] / found[:, 3:4]
+    return np.stack([found[:, 0] / found[:, 3], found[:, 1] / found[:, 3], found[:, 2] / found[:, 0]], axis=1)
+
+
+def scores(blocks: list[Block], weights: np.ndarray) -> np.ndarray:
+    """The fused score of every block: length and marks of its path, smoothed over the neighbouring blocks, its unlinked share, and its term."""
+    found = ratios(blocks)
     kernel = np.array([0.25, 0.5, 0.25])
-    padded = np.vstack((ratios[:1], ratios, ratios[-1:]))
+    padded = np.vstack((found[:1, :2], found[:, :2], found[-1:, :2]))
     smooth = np.stack([np.convolve(padded[:, i], kernel, "valid") for i in range(2)], axis=1)
     top = np.maximum(smooth.max(axis=0), 1e-9)
-    return np.sqrt(smooth[:, 0] / top[0] * (smooth[:, 1] + 0.1) / (top[1] + 0.1)) * (1 - found[:, 2] / found[:, 0])
+    return np.sqrt(smooth[:, 0] / top[0] * (smooth[:, 1] + 0.1) / (top[1] + 0.1)) * (1 - found[:, 2]) * weights
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by two line feeds."""
-    blocks, contents = parse(page or "")
-    blocks = _without_doubtful(blocks, contents)
+    blocks, elements = parse(page or "")
     if not blocks:
         return ""
-    values = scores(blocks)
-    threshold = max(values.mean() - values.std(), 0.15 * values.max())
-    weights = np.array([max(0, len(b.text) - b.linked) for b in blocks]) * (values >= threshold)
-    if not weights.any():
-        weights = np.array([len(b.text) for b in blocks], float)
-    scoring = np.flatnonzero(weights)
-    named = {e: b.path[i] for b in blocks for i, e in enumerate(b.elements)}
-    held = set.intersection(*(set(blocks[i].elements) for i in scoring))
-    around = [e for e in held if named[e] in ("article", "main")]
-    bound = max(around or held, default=None)  # elements are numbered as they open: the last of those that hold all is the least
-    if bound is not None and named[bound] not in ("article", "main", "div", "section", "td", "body"):
-        above = blocks[scoring[0]].elements  # a leaf alone is not an article: its parent is
-        bound = above[max(0, above.index(bound) - 1)]
-    article = [any(named[e] in ("article", "main") for e in b.elements) for b in blocks]
-    in_articles = weights[article].sum() >= 0.5 * weights.sum()
+    weights = terms(blocks, elements)
+    values = scores(blocks, weights)
+    plain = values[weights == 1] if (weights == 1).any() else values
+    threshold = max(plain.mean() - plain.std(), 0.15 * values.max())
+    means = ratios(blocks)  # what only neighbours make a good score of, a label beside prose, is no content of its own
+    chosen = (values >= threshold) & ((means[:, 1] > 0) | (means[:, 0] >= PROSE)) & np.array([b.linked < len(b.text) for b in blocks])
+    if not chosen.any():
+        chosen = weights == weights.max()
+    places = np.flatnonzero(chosen)
+    first, end = int(places[0]), int(places[-1]) + 1
+    bound, around = None, blocks[first].element
+    while around >= 0:  # the innermost article that holds all content, or else the innermost element
+        element = elements[around]
+        if element.first <= first and element.end >= end:
+            bound = element if bound is None or (element.tag in ARTICLES and bound.tag not in ARTICLES) else bound
+        around = element.parent
+    while bound is not None and bound.parent >= 0 and bound.tag not in (*ARTICLES, "div", "section", "td", "body"):
+        bound = elements[bound.parent]  # a leaf alone is not an article: what it stands in is
+        break
+    size = np.array([max(0, len(b.text) - b.linked) for b in blocks]) * chosen
+    in_articles = size[[b.article for b in blocks]].sum() >= 0.5 * size.sum()
     kept = []
     for i, block in enumerate(blocks):
-        links = block.linked >= 0.9 * len(block.text) and block.path[-1:] and block.path[-1] in ("li", "ul", "div", "td")
-        between = weights[i] > 0 or (scoring[0] < i < scoring[-1] and not links)
-        if bound is not None and bound not in block.elements:
+        links = block.linked >= 0.9 * len(block.text) and block.leaf in ("li", "ul", "div", "td")
+        if bound is not None and not bound.first <= i < bound.end:
             continue
-        if in_articles:
-            keep = article[i] or between
-        else:
-            keep = between or not links or (bound is not None and named[bound] not in ("body", "html"))
-        if keep:
+        around = first < i < end - 1 and not links
+        whole = block.article if in_articles else not links or (bound is not None and bound.tag not in ("body", "html"))
+        if chosen[i] or ((around or whole) and weights[i] == weights[places].max()):
             kept.append(block.text)
     return "\n\n".join(kept)
 

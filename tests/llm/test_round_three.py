@@ -12,7 +12,7 @@ import pytest
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
-from hopscore.llm import byte_bpe, centroids, decontaminate, prefix_trie, warc  # noqa: E402
+from hopscore.llm import byte_bpe, centroids, decontaminate, html_text, prefix_trie, warc  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -272,3 +272,71 @@ def test_warc_appends_and_foreign_archives(spark, tmp_path):
     (tmp_path / "archive" / f"part-{'0' * 32}.warc.gz").write_bytes(b"left by a task that failed")
     read = spark.read.format("warc").load(folder)
     assert sorted(r.record_id for r in read.collect()) == ["<urn:page:0>", "<urn:page:1>", "<urn:page:9>"]
+
+
+STORY = ["One sentence of the story, and a second one; it goes on for a while.", "Then there is more of it, with marks, and it ends here."] * 3
+MENU = "".join(f"<li><a href=x{i}>Item {i}</a></li>" for i in range(8))
+
+
+def test_main_text_without_any_telling_name():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    page = f"<body><div><ul>{MENU}</ul></div><div><div><h1>The title</h1>{story}<p>Short.</p>{story}</div></div><div><span>Imprint</span> <a>Contact</a></div></body>"
+    assert html_text.main_text(page) == "\n\n".join(["The title", *STORY, "Short.", *STORY])
+
+
+def test_scores_decide_what_is_content(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()[:60]
+    before = [html_text.main_text(page) for page in pages]
+    with monkeypatch.context() as patch:
+        patch.setattr(html_text, "scores", lambda blocks, weights: np.ones(len(blocks)))
+        assert sum(html_text.main_text(p) != b for p, b in zip(pages, before)) > 50
+    with monkeypatch.context() as patch:
+        patch.setattr(html_text, "scores", lambda blocks, weights: np.random.default_rng(len(blocks)).random(len(blocks)))
+        assert sum(html_text.main_text(p) != b for p, b in zip(pages, before)) > 30
+
+
+def test_ratios_equal_brute_force():
+    page = f"<div><ul>{MENU}</ul><p>One, two.<p>Three <a>four</a>!</div><section><p>Five;</section>"
+    blocks, elements = html_text.parse(page)
+    paths = {}
+    for block in blocks:
+        chain, at = [], block.element
+        while at >= 0:
+            chain, at = [elements[at].tag, *chain], elements[at].parent
+        paths.setdefault(tuple(chain), []).append(block)
+    assert {tuple(sorted(p)) for p in paths} == {("div", "li", "ul"), ("div", "p"), ("p", "section")}
+    found = html_text.ratios(blocks)
+    for held in paths.values():
+        assert len({b.path for b in held}) == 1
+        length = sum(len(b.text) for b in held)
+        marks = sum(len(html_text.PUNCTUATION.findall(b.text)) for b in held)
+        want = [length / len(held), marks / len(held), sum(b.linked for b in held) / length]
+        for block in held:
+            assert found[blocks.index(block)].tolist() == pytest.approx(want)
+
+
+def test_deep_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    def cost(depth):
+        tracemalloc.start()
+        begin = time.process_time()
+        html_text.main_text("<div class=ad>text, " * depth)
+        spent, peak = time.process_time() - begin, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return spent, peak
+
+    cost(500)
+    (short, little), (long, much) = cost(4_000), cost(16_000)
+    assert much < 6 * little and long < 12 * short + 0.5
+
+
+def test_pages_of_an_empty_table_and_with_clashing_columns(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string, path string"
+    row = (1, "u", "<p>Some text, here.", "t", "n", "p")
+    frame = spark.createDataFrame([row, row], schema)
+    assert rows_of(html_text.extract_pages(frame)) == [(1, "u", "Some text, here.", 16)] * 2
+    assert html_text.extract_pages(frame.limit(0)).count() == 0
