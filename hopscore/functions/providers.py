@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hopscore.functions.json_text import is_object, required
 from hopscore.functions.text import once
 
 # Model name prefixes and the provider behind each.
@@ -29,8 +30,15 @@ def provider_of_model(model: Column) -> Column:
     return provider
 
 
+def is_response(provider: Column, payload: Column) -> Column:
+    """False for a payload of a known provider that is no JSON object."""
+    return ~provider.isin(*[name for _, name in PROVIDER_PREFIXES]) | payload.isNull() | is_object(payload)
+
+
 def parse_response(provider: Column, payload: Column) -> Column:
-    """``struct<content, input_tokens, output_tokens, cached_tokens>`` of a logged response, NULL for other providers."""
+    """``struct<content, input_tokens, output_tokens, cached_tokens>`` of a logged response, NULL for other providers. A payload that is
+    no JSON object is an error."""
+    payload = required(payload, is_response(provider, payload), "payload is not a JSON object")
 
     def fields(content: Column, sent: Column, received: Column, cached: Column) -> Column:
         return F.struct(

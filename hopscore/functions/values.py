@@ -64,8 +64,8 @@ def graph_value(value: Column, dtype: T.DataType) -> Column:
         )
     elif names == PATH:
         out = F.struct(*[graph_value(value[n], dtype[n].dataType).alias(n) for n in ("nodes", "relationships")])
-    else:
-        return value
+    else:  # a projected record: each member by itself
+        out = F.struct(*[graph_value(value[n], dtype[n].dataType).alias(n) for n in dtype.names])
     return F.when(value.isNotNull(), out)
 
 
@@ -86,8 +86,8 @@ def traversal_value(value: Column, dtype: T.DataType) -> Column:
     elif names == TRAVERSAL_PATH:
         fields = [value["labels"].alias("labels")]
         fields.append(traversal_value(value["objects"], dtype["objects"].dataType).alias("objects"))
-    else:
-        return value
+    else:  # a projected record: each member by itself
+        fields = [traversal_value(value[n], dtype[n].dataType).alias(n) for n in dtype.names]
     return F.when(value.isNotNull(), F.struct(*fields))
 
 

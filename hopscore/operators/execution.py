@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopscore.functions.answers import answers_from_json
+from hopscore.functions.json_text import is_json, required
 
 NO_QUERY = "no query to execute"  # Fixed value: the error text of a result without a query.
 
@@ -27,8 +28,8 @@ def cell_text(cell: Column) -> Column:
 
 def wrap_scalars(rows: DataFrame, value: str = "value") -> DataFrame:
     """Rows of traversal output (JSON texts, keyed by ``row_idx``) as name-to-cell maps: objects as they are, any
-    other value as ``{value: x}``."""
-    text = F.col(value)
+    other value as ``{value: x}``. A text that is no JSON is an error (``split_traversal`` sets such rows apart)."""
+    text = required(F.col(value), is_json(F.col(value)), "value is not JSON")
     is_object = F.startswith(F.trim(text), F.lit("{"))
     # Map values read as strings lose their quotes, so each is looked up again in its JSON form.
     members = F.from_json(text, "map<string,variant>")
@@ -37,6 +38,12 @@ def wrap_scalars(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumn("row", F.when(is_object, cells).otherwise(scalar)).drop(value)
 
 
+def split_traversal(rows: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejected)`` rows of traversal output; rejected ones have a ``problem``."""
+    bad = F.col(value).isNotNull() & ~is_json(F.col(value))
+    return rows.filter(~bad), rows.filter(bad).withColumn("problem", F.lit("value is not JSON"))
+
+
 def first_row_columns(rows: DataFrame, *keys: str) -> DataFrame:
     """Column names per query: those of its first row."""
     first = F.min_by(F.map_keys("row"), F.col("row_idx"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopscore.functions.providers import parse_response
-from hopscore.functions.text import extract_query
+from hopscore.functions.providers import is_response, parse_response
+from hopscore.functions.text import clean_query, extract_query
 from hopscore.model import STATS_TYPE
 
 Batch = pd.DataFrame
@@ -43,9 +43,19 @@ def predict(prompts: DataFrame, load: Callable[[], Model], keep: list[str], work
     return done.select(*keep, "content", F.when(measured, F.struct(*stats)).alias("stats"))
 
 
-def generation_of(content: Column, stats: Column, extract: bool = True) -> Column:
-    """The stored generation: the query inside the completion (or all of it) and the model's stats."""
-    return F.struct((extract_query(content) if extract else content).alias("query"), stats.alias("stats"))
+def generation_of(
+    content: Column,
+    stats: Column,
+    extract: bool = True,
+    lang: str | None = None,
+    translator: Callable[[str], str] | None = None,
+    clean: Sequence[str] = (),
+) -> Column:
+    """The stored generation and the model's stats: the query inside the completion (or all of it), translated to ``lang`` from an
+    intermediate representation if there is a ``translator``, and cleaned up by the named steps."""
+    query = extract_query(content) if extract else content
+    query = translate(query, lang, translator) if translator and lang else query
+    return F.struct(clean_query(query, list(clean)).alias("query"), stats.alias("stats"))
 
 
 def response_columns(log: DataFrame, keep: list[str]) -> DataFrame:
@@ -54,6 +64,12 @@ def response_columns(log: DataFrame, keep: list[str]) -> DataFrame:
     return parsed.select(*keep, "response.*")
 
 
+def split_responses(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejected)`` logged responses; rejected ones have a ``problem``."""
+    good = F.coalesce(is_response(F.col("provider"), F.col("payload")), F.lit(True))
+    return log.filter(good), log.filter(~good).withColumn("problem", F.lit("payload is not a JSON object"))
+
+
 # The languages an intermediate representation can be translated to.
 TRANSLATABLE = ("cypher", "sparql", "kopl")
 

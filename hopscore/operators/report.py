@@ -58,6 +58,18 @@ def report_cells(pairs: DataFrame, fields: list[str], keys: list[str] = CONFIG)
     return named.groupBy(*keys, *[f"`{n}`" for n in dimensions]).agg(*[m.alias(n) for n, m in _measures().items()])
 
 
+def merge_cells(cells: DataFrame, added: DataFrame, retracted: DataFrame) -> DataFrame:
+    """``cells`` with the measures of ``added`` and without those of ``retracted``; a cell without results is left out.
+
+    Counts are exact; sums of scores and durations are doubles, so that many retractions leave rounding errors of their size.
+    """
+    measures = list(_measures())
+    by = [f"`{c}`" for c in cells.columns if c not in measures]
+    minus = retracted.withColumns({m: -F.col(m) for m in measures})
+    every = cells.unionByName(added).unionByName(minus)
+    return every.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures]).filter(F.col("n") > 0)
+
+
 def _stats(cells: DataFrame, *by: str) -> DataFrame:
     sums = cells.groupBy(*by).agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _measures()])
     n, errors, timed = F.col("n"), F.col("errors"), F.col("with_stats")

@@ -31,8 +31,17 @@ class Report:
     """
 
     def __init__(self, results: DataFrame, questions: DataFrame, dataset: str, fields: list[str]):
+        self._tables(cut_lineage(report_cells(pair_results(results, questions), fields)), dataset, fields)
+
+    @classmethod
+    def of_cells(cls, cells: DataFrame, dataset: str, fields: list[str]) -> Report:
+        """A report from cells that are stored."""
+        report = cls.__new__(cls)
+        report._tables(cells, dataset, fields)
+        return report
+
+    def _tables(self, cells: DataFrame, dataset: str, fields: list[str]) -> None:
         self.fields = fields
-        cells = cut_lineage(report_cells(pair_results(results, questions), fields))
         name = run_id(F.lit(dataset), *map(F.col, CONFIG)).alias("run_id")
 
         def named(table: DataFrame) -> DataFrame:

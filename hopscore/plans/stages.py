@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +33,21 @@ def generate_stage(
     if_exists: str = "skip",
     workers: int | None = None,
     extract: bool | None = None,
+    templates: dict[str, str] | None = None,
+    translator: Callable[[str], str] | None = None,
+    clean: Sequence[str] = (),
 ) -> DataFrame:
     """Prompt the model with every pending question and store what it wrote. ``questions`` may have a ``dataset``
     column and ``schemas`` the schema texts by dataset and language; without them the prompt is the question.
-    ``extract`` takes the query out of the completion; if it is not given, for ``llm`` only."""
+
+    ``templates`` are prompt texts of your own by language, with the places ``schema`` and ``question``. ``extract`` takes the query out
+    of the completion; if it is not given, for ``llm`` only. ``translator`` turns an intermediate representation into the language (what it
+    fails on is kept), and ``clean`` names steps that tidy the query up."""
     pending = _keyed(pending_generate(questions, results, method, lang, model, if_exists), method, lang, model)
     pending = with_schema(pending, schemas) if schemas is not None else pending.withColumn("schema_text", F.lit(None).cast("string"))
-    prompts = pending.select(*KEY, prompt(F.col("lang"), F.col("question"), F.col("schema_text")).alias("prompt"))
-    query = generation_of(F.col("content"), F.col("stats"), method == "llm" if extract is None else extract)
+    text = prompt(F.col("lang"), F.col("question"), F.col("schema_text"), templates)
+    prompts = pending.select(*KEY, text.alias("prompt"))
+    query = generation_of(F.col("content"), F.col("stats"), method == "llm" if extract is None else extract, lang, translator, clean)
     written = predict(prompts, load, KEY, workers).select(*KEY, query.alias("gen"))
     return save_generation(results, written)
 

@@ -37,9 +37,32 @@ class ResultStore:
         store._write_base(results, 0, buckets or int(store.spark.conf.get("spark.sql.shuffle.partitions")))
         return store
 
-    def merged(self) -> DataFrame:
-        """All results as they are after the last commit."""
+    def state(self) -> tuple[str, int]:
+        """The base and the version of the last commit: what ``merged`` and ``changed_since`` take to name a moment."""
         base, commits = self._log()
+        return base, max((c.version for c in commits), default=self._version_of(base))
+
+    def changed_since(self, state: tuple[str, int]) -> DataFrame | None:
+        """The keys of all results that commits after ``state`` may have changed; None if the results have got a new base since."""
+        base, commits = self._log()
+        if base != state[0]:
+            return None
+        later = [c for c in commits if c.version > state[1]]
+        changes = read_bucketed(self.spark, f"{self.path}/{base}/changes").select(*KEY, "commit")
+        keys = changes.filter(F.col("commit").isin([c.commit for c in later if c.kind == "save"])).select(*KEY)
+        cleared = {tuple(getattr(c, name) for name in CONFIG) for c in later if c.kind == "clear"}
+        for config in sorted(cleared):
+            same = [F.col(name) == value for name, value in zip(CONFIG, config)]
+            keys = keys.unionByName(self.merged().filter(same[0] & same[1] & same[2]).select(*KEY))
+        return keys.distinct()
+
+    def merged(self, state: tuple[str, int] | None = None) -> DataFrame:
+        """All results as they are after the last commit, or were at a state of the same base."""
+        base, commits = self._log()
+        if state is not None:
+            if state[0] != base:
+                raise ValueError("the results have got a new base since")
+            commits = [c for c in commits if c.version <= state[1]]
         rows = read_bucketed(self.spark, f"{self.path}/{base}/results").withColumn("_stored", F.lit(True))
         saves = [c.commit for c in commits if c.kind == "save"]
         changes = read_bucketed(self.spark, f"{self.path}/{base}/changes").filter(F.col("commit").isin(saves))

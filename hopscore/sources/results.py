@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from hopscore.model import CONFIG, EVAL_TYPE, EXEC_TYPE, GEN_TYPE, KEY, RESULTS
+from hopscore.functions.json_text import is_object, required
+from hopscore.model import CONFIG, EVAL_TYPE, EXEC_TYPE, GEN_TYPE, KEY, RESULTS, STAGES
 from hopscore.session import cut_lineage
 from hopscore.sources.questions import latest_questions
 
@@ -14,11 +15,27 @@ def empty_results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RESULTS)
 
 
+def _stage_text(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(""))
+
+
+def split_stored(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejected)`` of results whose stages are JSON texts; rejected ones have a ``problem``: their first stage that is no object."""
+    problem = F.lit(None).cast("string")
+    for name in reversed(STAGES):
+        bad = _stage_text(name).isNotNull() & ~is_object(_stage_text(name))
+        problem = F.when(bad, f"{name} is not a JSON object").otherwise(problem)
+    checked = rows.withColumn("problem", problem)
+    return checked.filter(F.col("problem").isNull()).drop("problem"), checked.filter(F.col("problem").isNotNull())
+
+
 def decode_results(rows: DataFrame) -> DataFrame:
-    """Stage columns held as JSON texts -> typed structs. A NULL or empty text is a stage not run."""
+    """Stage columns held as JSON texts -> typed structs. A NULL or empty text is a stage not run; one that is no JSON object is an
+    error (``split_stored`` sets such rows apart)."""
 
     def stage(name: str, dtype) -> Column:
-        return F.from_json(F.nullif(F.col(name), F.lit("")), dtype)
+        text = _stage_text(name)
+        return F.from_json(required(text, is_object(text), f"{name} is not a JSON object"), dtype)
 
     success = F.coalesce(F.col("exec.success"), F.lit(False))
     return rows.select(

@@ -14,7 +14,7 @@ import check  # noqa: E402
 from workload import QUERIES  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
-PYTHON = {"predict", "generate_stage_skip", "translate_fallback"}
+PYTHON = {"predict", "generate_stage_skip", "generate_seq2seq", "translate_fallback"}
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopscore.model import KEY, STAGES
 from hopscore.operators import encode, vocabulary
+from hopscore.operators.execution import split_traversal
+from hopscore.operators.generation import split_responses
 from hopscore.session import shared_path
 from hopscore.sources import examples as example_source
 from hopscore.sources import graph_schemas as schema_source
@@ -107,3 +110,25 @@ def _copy_arrays(records: DataFrame, path: str) -> None:
     part = F.floor(F.col("doc_id") / PER_FILE).cast("int")
     arrays = records.groupBy(part.alias("part")).agg(F.array_join(F.collect_list("value"), ", ").alias("listed"))
     arrays.select("part", F.concat(F.lit("["), "listed", F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+
+
+@query(
+    f"""{tables.WITH_RESULTS}
+    SELECT 'result' AS kind, question_id AS id, CASE WHEN CAST(question_id AS BIGINT) % 50 = 0 THEN 'gen' ELSE 'exec' END || ' is not a JSON object' AS problem
+      FROM results WHERE CAST(question_id AS BIGINT) % 50 IN (0, 1)
+    UNION ALL SELECT 'row', CAST(event_id AS VARCHAR), 'value is not JSON' FROM events WHERE event_id % 20 = 0
+    UNION ALL SELECT 'response', CAST(c_custkey AS VARCHAR), 'payload is not a JSON object' FROM customer WHERE c_custkey % 30 = 0"""
+)
+def rejected_records(t: Tables) -> DataFrame:
+    """Stored stages, traversal rows and responses that are cut off or of another kind, set apart with what is wrong."""
+    number = F.col("question_id").cast("bigint") % 50
+    texts = views.results(t).withColumns({s: F.to_json(F.col(s)) for s in STAGES})
+    texts = texts.withColumns({"gen": F.when(number == 0, F.left("gen", F.lit(1))).otherwise(F.col("gen")), "exec": F.when(number == 1, "[1]").otherwise(F.col("exec"))})
+    stored = result_source.split_stored(texts.select(*KEY, *STAGES))[1].select(F.lit("result").alias("kind"), F.col("question_id").alias("id"), "problem")
+    value = F.when(F.col("event_id") % 20 == 0, '{"a": [1, ').otherwise(F.to_json(F.struct("event_type")))
+    rows = split_traversal(t.events.select(F.col("event_id").cast("string").alias("id"), value.alias("value")))[1]
+    known = F.when(F.col("c_custkey") % 30 == 1, "other").otherwise("openai")
+    payload = F.when(F.col("c_custkey") % 30 < 2, '"output_text"').otherwise(F.to_json(F.struct(F.col("c_name").alias("output_text"))))
+    log = t.customer.select(F.col("c_custkey").cast("string").alias("id"), known.alias("provider"), payload.alias("payload"))
+    parts = [frame.select(F.lit(kind).alias("kind"), "id", "problem") for kind, frame in (("row", rows), ("response", split_responses(log)[1]))]
+    return stored.unionByName(parts[0]).unionByName(parts[1])

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopscore.functions.answers import normalize_answers
 from hopscore.model import CONFIG, EVAL_TYPE, KEY
 from hopscore.operators import execution, prompts, report, scoring
+from hopscore.operators.numbering import number_within
+from hopscore.plans.incremental import IncrementalReport
 from hopscore.plans.report_text import Report
 from hopscore.plans.stages import evaluate_rows_stage, evaluate_stage, execute_rows_stage, execute_stage
+from hopscore.session import shared_path
+from hopscore.sources.result_store import ResultStore
 from workload import views
 from workload.registry import Tables, query
 from workload.tables import CONFIG as RUN
@@ -404,10 +408,37 @@ def _sql_markdown() -> str:
 def report_markdown(t: Tables) -> DataFrame:
     """The Markdown reports of all configurations, each line with its place in its report."""
     lines = Report(scored(t), views.questions(t), views.DATASET, FIELDS).markdown()
-    order = Window.partitionBy("run_id").orderBy("section", "item", "value", "part")
-    return lines.select("run_id", F.row_number().over(order).alias("place"), "line")
+    return number_within(lines, "run_id", ["section", "item", "value", "part"]).select("run_id", "place", "line")
 
 
 @query(f"{WITH_RESULTS} SELECT DISTINCT 'orders-' || method || '-' || lang || '-' || model AS run_id FROM results")
 def run_ids(t: Tables) -> DataFrame:
     return views.results(t).select(prompts.run_id(F.lit(views.DATASET), *map(F.col, CONFIG)).alias("run_id")).distinct()
+
+
+def _sql_changed() -> str:
+    """The scored results after the saves and the clear of ``report_incremental``."""
+    key = "CAST(question_id AS BIGINT)"
+    names = [f'"{n}"' for n in SCORES]
+    score = f"CASE WHEN {SQL_CONFIG} THEN 0.0 WHEN {key} % 200 = 2 THEN 1.0 WHEN {key} % 100 IN (1, 2) THEN 0.0 ELSE {{}} END AS {{}}"
+    new = ", ".join(score.format(n, n) for n in names)
+    before = views.SQL_SCORED.replace("scored AS (", "unchanged AS (")
+    done = f"{key} % 100 IN (1, 2) OR success AS success, CASE WHEN {key} % 100 NOT IN (1, 2) THEN error END AS error"
+    return f"WITH {before}, scored AS (SELECT * REPLACE ({done}, {new}) FROM unchanged)"
+
+
+@query(f"{_sql_changed()}, {_LONG} SELECT 'orders-' || method || '-' || lang || '-' || model AS run_id, * EXCLUDE (method, lang, model) FROM ({_sql_stats('method, lang, model, field, value', 'long')})")
+def report_incremental(t: Tables) -> DataFrame:
+    """A report on stored results, brought up to date after executions and evaluations were saved and a stage was cleared."""
+    store = ResultStore.create(scored(t), shared_path(t.spark, "reported-results"))
+    kept = IncrementalReport(store, views.questions(t), shared_path(t.spark, "report-cells"), views.DATASET, FIELDS)
+    kept.rebuild()
+    keys, number = views.results(t).select(*KEY), F.col("question_id").cast("bigint")
+    done = F.struct(F.array(F.lit("new")).alias("result"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+    store.save_execution(keys.filter((number % 100).isin(1, 2)).select(*KEY, done.alias("exec")))
+    kept.update()
+    scores = F.struct(*[F.lit(1.0).alias(name) for name in EVAL_TYPE.names])
+    store.save_evaluation(keys.filter(number % 200 == 2).select(*KEY, scores.alias("eval")))
+    store.clear_stage(*RUN, "eval")
+    kept.update()
+    return rounded(kept.report().by_field, *DOUBLES)

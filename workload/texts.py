@@ -164,6 +164,42 @@ def generate_stage_skip(t: Tables) -> DataFrame:
     return table.select("question_id", "method", "lang", "model", "gen.query")
 
 
+def _terse_model():
+    """A stand-in for a sequence model: writes an intermediate representation."""
+
+    def load():
+        import pandas as pd
+
+        return lambda batch: pd.DataFrame({"content": batch["prompt"].str.replace("Ask: ", "ir ", regex=False)})
+
+    return load
+
+
+@query(
+    f"""{WITH_RESULTS} SELECT question_id, method, lang, model, query FROM results
+    WHERE NOT (method = 'seq2seq' AND lang = 'cypher' AND model = 'terse')
+    UNION ALL SELECT id, 'seq2seq', 'cypher', 'terse',
+      CASE WHEN hop = '1' THEN '(' || question || ')-[:shipped_in]->()' ELSE 'ir ' || question END FROM questions"""
+)
+def generate_seq2seq(t: Tables) -> DataFrame:
+    """A sequence model with a prompt text of its own, a translator that fails on some questions, and a clean-up step."""
+
+    def translator(source: str) -> str:
+        if not source.endswith(" 1"):
+            raise ValueError("cannot translate")
+        return "(" + source[3:-2] + ")-[:SHIPPED_IN]->()"
+
+    schemas = t.nation.limit(1).select(F.lit("orders").alias("dataset"), F.lit("cypher").alias("lang"), F.lit("none").alias("schema_text"))
+    asked = views.questions(t).withColumn("dataset", F.lit("orders"))
+    hop = F.try_element_at("extra", F.lit("hop"))
+    asked = asked.withColumn("question", F.when(hop == "1", F.concat("question", F.lit(" 1"))).otherwise(F.col("question")))
+    table = generate_stage(
+        asked, views.results(t), _terse_model(), "seq2seq", "cypher", "terse", schemas,
+        templates={"cypher": "Ask: {{ question }}"}, translator=translator, clean=["lowercase_relationships"],
+    )
+    return table.select("question_id", "method", "lang", "model", "gen.query")
+
+
 def _translator():
     def upper_or_fail(source: str) -> str:
         if "a" in source.split()[-1]:
@@ -322,7 +358,9 @@ def _day(ts: str) -> list[Column]:
       '["' || strftime(ts, '%Y-%m-%d') || ' ' || strftime(ts, '%H:%M:%S') || '",null]' AS moments,
       '{"span":{"months":1,"days":2,"seconds":' || user_id || ',"nanoseconds":5}}' AS spans,
       '{"nodes":[{"id":"' || event_id || '","labels":["Event","' || event_type || '"],"properties":{"user":"' || user_id
-        || '","none":null}}],"relationships":[{"id":"r' || event_id || '","type":"BY","start":"' || event_id || '","end":"u' || user_id || '","properties":{}}]}' AS path
+        || '","none":null}}],"relationships":[{"id":"r' || event_id || '","type":"BY","start":"' || event_id || '","end":"u' || user_id || '","properties":{}}]}' AS path,
+      '{"when":"' || strftime(ts, '%Y-%m-%d') || '","who":{"id":"' || event_id || '","labels":["Event","' || event_type || '"],"properties":{"user":"' || user_id
+        || '","none":null}},"inner":{"days":["' || strftime(ts, '%Y-%m-%d') || '"],"n":' || user_id || '}}' AS projected
     FROM events"""
 )
 def graph_values(t: Tables) -> DataFrame:
@@ -349,6 +387,11 @@ def graph_values(t: Tables) -> DataFrame:
         F.array(moment, F.lit(None)).alias("moments"),
         F.create_map(F.lit("span"), duration).alias("spans"),
         F.struct(F.array(node).alias("nodes"), F.array(relationship).alias("relationships")).alias("path"),
+        F.struct(
+            F.struct(*_day("ts")).alias("when"),
+            node.alias("who"),
+            F.struct(F.array(F.struct(*_day("ts"))).alias("days"), F.col("user_id").alias("n")).alias("inner"),
+        ).alias("projected"),
     )
     return _as_texts(raw, "event_id", values.graph_value)
 
@@ -363,7 +406,9 @@ def _as_texts(raw: DataFrame, key: str, convert) -> DataFrame:
     """SELECT event_id, event_type AS scalar,
       '{"id":' || event_id || ',"label":"Event"}' AS vertex,
       '[{"id":"e' || event_id || '","label":"BY","inV":' || user_id || ',"outV":' || event_id || '}]' AS edges,
-      '{"labels":[["a"],["b","' || event_type || '"]],"objects":[{"id":' || event_id || ',"label":"Event"},{"id":' || user_id || ',"label":"User"}]}' AS path
+      '{"labels":[["a"],["b","' || event_type || '"]],"objects":[{"id":' || event_id || ',"label":"Event"},{"id":' || user_id || ',"label":"User"}]}' AS path,
+      '{"from":{"id":' || user_id || ',"label":"User"},"all":{"k":{"by":{"id":"e' || event_id || '","label":"BY","inV":' || user_id || ',"outV":' || event_id
+        || '},"kind":"' || event_type || '"}}}' AS projected
     FROM events"""
 )
 def traversal_values(t: Tables) -> DataFrame:
@@ -383,5 +428,9 @@ def traversal_values(t: Tables) -> DataFrame:
         vertex("event_id", "Event").alias("vertex"),
         F.array(edge).alias("edges"),
         F.struct(labels.alias("labels"), F.array(vertex("event_id", "Event"), vertex("user_id", "User")).alias("objects")).alias("path"),
+        F.struct(
+            vertex("user_id", "User").alias("from"),
+            F.create_map(F.lit("k"), F.struct(edge.alias("by"), F.col("event_type").alias("kind"))).alias("all"),
+        ).alias("projected"),
     )
     return _as_texts(raw, "event_id", values.traversal_value)
