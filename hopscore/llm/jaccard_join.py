@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopscore.llm.graph import Forest, components, runs
-from hopscore.llm.storage import discard, saved
+from hopscore.llm.storage import discard, released, saved
 from hopscore.llm.words import mix, shingle_sets
 
 THRESHOLD, RECALL = 0.8, 0.999
@@ -107,7 +107,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).withColumn("text_key", F.md5("text"))
-    return rows.mapInPandas(signed, f"doc_id {kind}, text_key string, digest string, words long, sketch binary")
+    return rows.mapInPandas(released(signed), f"doc_id {kind}, text_key string, digest string, words long, sketch binary")
 
 
 def _forest(groups: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -162,7 +162,7 @@ def _candidates(points: DataFrame, threshold: float, recall: float) -> DataFrame
     sized = lambda rows: rows.join(
         saved(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path-sizes"), "path"
     )
-    level = saved(points.mapInPandas(roots, "path long, digest string"), "path-0")
+    level = saved(points.mapInPandas(released(roots), "path long, digest string"), "path-0")
     small, found = [], []
     for depth in range(DEPTH + 1):
         level = saved(sized(level).join(samples, "digest"), f"path-{depth}-members")
@@ -182,7 +182,7 @@ def _candidates(points: DataFrame, threshold: float, recall: float) -> DataFrame
         near = F.col("near") <= 1 - (1 - least - (1 - threshold)) + 0.15
         once_more = compared.where((F.col("near") >= least) & near).join(saved(between, "path-open"), "path", "left_semi")
         again = compared.where(F.col("near") < least).unionByName(once_more)
-        level = saved(again.mapInPandas(split, "path long, digest string"), f"path-{depth + 1}")
+        level = saved(again.mapInPandas(released(split), "path long, digest string"), f"path-{depth + 1}")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     paired = (
@@ -199,7 +199,7 @@ def _candidates(points: DataFrame, threshold: float, recall: float) -> DataFrame
         members = members.unionByName(rows.withColumns({"i": lone, "j": lone, "side": F.lit(-1)}))
     keys = ["path", "i", "j"]
     ordered = members.repartition(*keys).sortWithinPartitions(*keys)
-    edges = ordered.mapInPandas(lambda frames: _forest(runs(frames, keys), threshold), "a string, b string")
+    edges = ordered.mapInPandas(released(lambda frames: _forest(runs(frames, keys), threshold)), "a string, b string")
     for rows in found:
         edges = edges.union(rows)
     return edges.where("a != b").distinct()
@@ -281,7 +281,7 @@ def _classes(docs: DataFrame, signed: DataFrame, threshold: float, recall: float
     keys = ["label", "i", "j"]
     ordered = paired.repartition(*keys).sortWithinPartitions(*keys)
     verified = saved(
-        ordered.mapInPandas(lambda frames: _verify(runs(frames, keys), threshold), "a string, b string, links long"), "join-links"
+        ordered.mapInPandas(released(lambda frames: _verify(runs(frames, keys), threshold)), "a string, b string, links long"), "join-links"
     )
     labels = components(verified.where("b is not null").select("a", "b"))
     links = verified.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopscore.llm.storage import saved
+from hopscore.llm.storage import released, saved
 from hopscore.llm.words import in_parts
 
 SAMPLE = 6_000  # rows the text model is fitted on, at most
@@ -129,7 +129,7 @@ def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
                 yield pd.DataFrame({"language": [name], "texts": [len(rows)], "counts": [counts.tolist()]})
 
     chosen = named.where(F.col("h") <= bound).dropDuplicates(["h"])
-    parts = chosen.mapInPandas(count, "language string, texts long, counts array<long>")
+    parts = chosen.mapInPandas(released(count), "language string, texts long, counts array<long>")
     summed = (
         parts.select("language", F.posexplode("counts").alias("feature", "n"))
         .where("n > 0")
@@ -158,7 +158,7 @@ def _evidence(rows: DataFrame, model: TextModel, key: Column) -> DataFrame:
     rows = rows.select(key.alias("key"), "text", "declared", "host", "parent", "suffix")
     kind = rows.schema["key"].dataType.simpleString()
     fields = "declared string, host string, parent string, suffix string, likelihoods array<double>, spoken int, letters boolean"
-    return rows.mapInPandas(score, f"key {kind}, {fields}")
+    return rows.mapInPandas(released(score), f"key {kind}, {fields}")
 
 
 def _counts(rows: DataFrame, by: str, languages: Sequence[str], name: str) -> DataFrame:
@@ -205,7 +205,7 @@ def identify(rows: DataFrame, model: TextModel, key: Column) -> DataFrame:
     joined = found.join(hosts, "host", "left").join(parents, "parent", "left")
     kind = found.schema["key"].dataType.simpleString()
     used = ["key", "likelihoods", "declared", "suffix", "letters", "host_counts", "parent_counts"]
-    return joined.select(used).mapInPandas(fuse, f"key {kind}, language string, probability double, accepted boolean")
+    return joined.select(used).mapInPandas(released(fuse), f"key {kind}, language string, probability double, accepted boolean")
 
 
 def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

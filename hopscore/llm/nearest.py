@@ -5,6 +5,8 @@ and, if it lies at a boundary, in those of further centroids of nearly the same
 graph of their neighbours, held in memory, and keeps the lists whose distance is at most ``ratio`` times the least. Lists
 are cut into shards of bounded size and the queries of a list into groups; each pair of them is one unit of work, in
 which the exact cosines are computed in double precision. ``ratio`` is chosen by the recall of the sample against brute force.
+A query first meets its nearest lists alone; the k-th best score found there is its floor, and units of the other lists return only
+what reaches the floor, so that the rows of results follow the queries and not the lists.
 
 Rows of an embedding table: vectors that are null, zero, hold null or non-finite components or have another
 length than most take no part, neither do rows without an id. Rows that repeat an id count as one candidate, by their best
@@ -30,6 +32,7 @@ PER_LIST = 128  # vectors a list is planned for while there are fewer than LISTS
 REPLICAS, BOUNDARY = 4, 1.08  # lists a vector may stand in, and how much farther than the nearest they may be
 NEIGHBOURS, BEAM = 24, 48
 SHARD, GROUP = 2_048, 1_024  # vectors and queries of a unit of work
+FIRST = 4  # lists that a query meets before it has a floor
 RECALL, TRIALS = 0.97, 200  # of the sample, and the queries it is measured with
 RATIOS = (1.0, 1.02, 1.04, 1.06, 1.08, 1.1, 1.13, 1.16, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, 10.0)
 
@@ -181,20 +184,22 @@ def search(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                     rest = sorted(set(range(len(own.value.centroids))) - set(near))
                     near = [*near, *(rest if len(near) > BEAM else rest[: 2 * len(near)])]
                 found.append(near)
-            yield frame.assign(list=found).explode("list")
+            nearest = [list(range(len(near))) for near in found]
+            yield frame.assign(list=found, place=nearest).explode(["list", "place"])
 
     def compare(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(vectors) and len(queries):
             ids, held = vectors["vec_id"].to_numpy(), np.array(vectors["vector"].tolist())
             norms = np.sqrt((held * held).sum(axis=1))
-            for query_id, query in zip(queries["vec_id"], queries["vector"], strict=True):
+            floors = queries["floor"].fillna(-np.inf)
+            for query_id, query, floor in zip(queries["vec_id"], queries["vector"], floors, strict=True):
                 # row by row, so that equal vectors have equal scores whatever stands beside them
                 score = (held * query).sum(axis=1) / (norms * np.sqrt((query * query).sum()))
                 score[ids == query_id] = -np.inf
                 top = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
                 top = top[np.lexsort((ids[top], -score[top]))][:k]
-                top = top[score[top] > -np.inf]
+                top = top[(score[top] > -np.inf) & (score[top] >= floor)]
                 out["query_id"] += [query_id] * len(top)
                 out["vec_id"] += ids[top].tolist()
                 out["score"] += score[top].tolist()
@@ -203,22 +208,31 @@ def search(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     unit = f"vec_id {kind}, vector array<double>, list int"
     postings = saved(valid.mapInPandas(place, unit), "nearest-lists")
     sizes = {row[0]: row[1] for row in postings.groupBy("list").count().collect()}  # at most LISTS rows
-    probes = saved(valid.where(is_query).mapInPandas(probe, unit), "nearest-probes")
-    asked = {row[0]: row[1] for row in probes.groupBy("list").count().collect()}
-    pieces = rows.sparkSession.createDataFrame(
-        [(c, -(-n // SHARD), -(-asked[c] // GROUP)) for c, n in sizes.items() if c in asked] or [(-1, 1, 1)],
-        "list int, shards int, groups int",
-    )
-    grid = F.broadcast(pieces)
+    probes = saved(valid.where(is_query).mapInPandas(probe, unit + ", place int"), "nearest-probes")
     shard, group = F.pmod(F.xxhash64("vec_id", "vector"), "shards").cast("int"), F.pmod(F.xxhash64("vec_id"), "groups").cast("int")
-    left = postings.join(grid, "list").select(
-        "list", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "vec_id", "vector"
-    )
-    right = probes.join(grid, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), group.alias("group"), "vec_id", "vector"
-    )
     by = ["list", "shard", "group"]
-    found = left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(compare, f"query_id {kind}, vec_id {kind}, score double")
+
+    def meet(asking: DataFrame) -> DataFrame:
+        """``query_id, vec_id, score`` of the units in which these probes meet their lists."""
+        asked = {row[0]: row[1] for row in asking.groupBy("list").count().collect()}  # at most LISTS rows
+        pieces = [(c, -(-n // SHARD), -(-asked[c] // GROUP)) for c, n in sizes.items() if c in asked] or [(-1, 1, 1)]
+        grid = F.broadcast(rows.sparkSession.createDataFrame(pieces, "list int, shards int, groups int"))
+        left = postings.join(grid, "list").select(
+            "list", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "vec_id", "vector"
+        )
+        right = asking.join(grid, "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), group.alias("group"), "vec_id", "vector", "floor"
+        )
+        schema = f"query_id {kind}, vec_id {kind}, score double"
+        return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(compare, schema)
+
+    no_floor = F.lit(None).cast("double").alias("floor")
+    first = saved(meet(probes.where(F.col("place") < FIRST).select("vec_id", "vector", "list", no_floor)), "nearest-first")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    distinct = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    floors = distinct.withColumn("n", F.row_number().over(ranked)).where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    others = probes.where(F.col("place") >= FIRST).join(floors, "vec_id", "left").select("vec_id", "vector", "list", "floor")
+    found = first.unionByName(meet(saved(others, "nearest-others")))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(

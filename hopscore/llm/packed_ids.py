@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopscore.llm.storage import file_system, saved, shared_folder
+from hopscore.llm.storage import file_system, released, saved, shared_folder
 from hopscore.llm.tokens import encoder
 from hopscore.llm.words import in_parts
 
@@ -171,7 +171,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInPandas(write, "part long, file string, bytes long, docs long, tokens long")
+    return ordered.mapInPandas(released(write), "part long, file string, bytes long, docs long, tokens long")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one short row per file
     based = files.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     each = based.select("file", "bytes", "base").repartition(max(1, files.count()), "file")  # a stated number is never merged to fewer
-    return each.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return each.mapInPandas(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _table(rows: list[tuple]) -> pd.DataFrame:

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopscore.llm.storage import released
 from hopscore.llm.tokens import encoder
 from hopscore.llm.words import in_parts
 
@@ -158,6 +159,6 @@ def pack_documents(
 
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInPandas(
-        pack,
+        released(pack),
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         ensure_checkpoint_dir(spark)
-        base = spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,3 +42,26 @@ def discard(*frames: DataFrame) -> None:
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI and the path on it, for files that are no tables."""
     return fs.FileSystem.from_uri(uri)
+
+
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on the batches of a partition, after which the worker gives the memory it no longer uses back to the system: workers stay
+    for later tasks, several to an executor, and what they keep would count against the executor."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Free memory of Python, Arrow and the C library."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
