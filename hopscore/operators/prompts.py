@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopscore.session import broadcast_if_small
+
 # Our own prompt texts, one per query language.
 _TASK = (
     "You write {name} queries over a knowledge graph.\n"
@@ -47,9 +49,10 @@ def render(template: str, values: dict[str, Column]) -> Column:
 
 
 def with_schema(questions: DataFrame, schemas: DataFrame, *keys: str) -> DataFrame:
-    """Questions with the ``schema_text`` of their dataset and language (NULL if there is none)."""
+    """Questions with the ``schema_text`` of their dataset and language (NULL if there is none). Schemas are measured first: as long as they can be
+    broadcast, a dataset that most questions belong to is no hot key; beyond that, adaptive execution splits it."""
     keys = list(keys or ("dataset", "lang"))
-    return questions.join(schemas.select(*keys, "schema_text"), keys, "left")
+    return questions.join(broadcast_if_small(schemas.select(*keys, "schema_text"), "schema_text"), keys, "left")
 
 
 def prompt(lang: Column, question: Column, schema_text: Column, templates: dict[str, str] | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopscore.functions.text import SPACE_CLASS
-from hopscore.session import cut_lineage
+from hopscore.session import broadcast_if_small, cut_lineage
 
 # The special tokens and their ids.
 SPECIALS = {"<PAD>": 0, "<UNK>": 1, "<START>": 2, "<END>": 3}
@@ -70,11 +70,11 @@ def look_up(items: DataFrame, vocabulary: DataFrame, default: int) -> DataFrame:
     """Add ``idx`` to rows with ``token``; unknown tokens get ``default``.
 
     ``vocabulary`` must be numbered by falling frequency, or be small. Its first ``HEAD`` entries are broadcast (their
-    number is fixed by the filter on ``idx``); they cover the tokens that are frequent enough to be hot. If there are
+    number is fixed by the filter on ``idx``, their bytes are measured); they cover the tokens that are frequent enough to be hot. If there are
     more entries, only rows not found so far are shuffled to meet the rest.
     """
     head = vocabulary.filter(F.col("idx") < HEAD)
-    met = items.join(F.broadcast(head), "token", "left")
+    met = items.join(broadcast_if_small(head, "token"), "token", "left")
     if vocabulary.filter(F.col("idx") >= HEAD).isEmpty():
         return met.withColumn("idx", F.coalesce("idx", F.lit(default).cast("long")))
     found = met.filter(F.col("idx").isNotNull())

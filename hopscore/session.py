@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -47,6 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+FEW_BYTES = 32 << 20  # most measured bytes of a table that is broadcast
+
+
+def broadcast_if_small(table: DataFrame, *texts: str) -> DataFrame:
+    """``table``, marked for a broadcast if the bytes of its text columns, measured by a small job, allow it; else as it is, so that joins with
+    it shuffle."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(64))
+    measured = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(table) if measured <= FEW_BYTES else table
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the checkpoint folder, for tables that are written on the way to a result."""
     ensure_checkpoint_dir(spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopscore.functions.answers import normalize_answers
@@ -332,23 +332,27 @@ def missing_relations(t: Tables) -> DataFrame:
     FROM scored s GROUP BY method, lang, model"""
 )
 def report_json(t: Tables) -> DataFrame:
-    """The JSON reports of all configurations, read back piece by piece."""
-    text = F.col("json")
-
-    def number(path: str, dtype: str = "bigint"):
-        return F.coalesce(F.get_json_object(text, path).cast(dtype), F.lit(0).cast(dtype))
-
-    documents = Report(scored(t), views.questions(t), views.DATASET, FIELDS).json()
-    return documents.select(
-        "run_id",
-        number("$.total").alias("total"),
-        F.round(number("$.summary.accuracy", "double"), 6).alias("accuracy"),
-        number("$.by_field.hop.1.count").alias("hop_1"),
-        number("$.by_field.tier.high.count").alias("tier_high"),
-        number("$.errors.total_errors").alias("total_errors"),
-        F.get_json_object(text, "$.errors.missing_relations").alias("missing"),
-        number("$.errors.error_types.timeout").alias("timeouts"),
+    """The JSON reports of all configurations, read back from their pieces: no document lies in one row."""
+    section, value, line = F.col("section"), F.col("value"), F.col("line")
+
+    def entry(where: Column, path: str, text: Column, dtype: str = "bigint") -> Column:
+        return F.max(F.when(where, F.get_json_object(text, path).cast(dtype)))
+
+    opening = F.concat(line, F.lit("}}"))
+    member = F.concat(F.lit("{"), F.regexp_replace(line, "^,", ""), F.lit("}"))
+    listed = F.array_sort(F.collect_list(F.when(section == 4, F.struct("value", "line"))))
+    pieces = Report(scored(t), views.questions(t), views.DATASET, FIELDS).json_pieces()
+    counted = F.regexp_extract(line, '"total_errors":([0-9]+)', 1)
+    found = pieces.groupBy("run_id").agg(
+        entry(section == 1, "$.total", opening).alias("total"),
+        F.round(entry(section == 1, "$.summary.accuracy", opening, "double"), 6).alias("accuracy"),
+        entry((section == 2) & (F.col("item") == 0) & (value == " 1"), "$.1.count", member).alias("hop_1"),
+        entry((section == 2) & (F.col("item") == 2) & (value == " high"), "$.high.count", member).alias("tier_high"),
+        F.max(F.when(section == 3, counted.cast("bigint"))).alias("total_errors"),
+        F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["line"]), ""), F.lit("]")).alias("missing"),
+        entry((section == 6) & (value == " timeout"), "$.timeout", member).alias("timeouts"),
     )
+    return found.na.fill(0)
 
 
 @query(
