@@ -1,14 +1,16 @@
 """Language of documents by Bayesian evidence fusion.
 
 posterior(language) is proportional to prior(language | host) * P(declared | language) * P(suffix | language) *
-P(text | language) ** t. The text likelihood is that of hashed letter trigrams, fitted on a bounded sample of declared rows; long
-texts are tempered, as their trigrams are not independent. All other terms are counts over all rows, made by grouped
+P(text | language) ** t. The text likelihood is that of hashed letter trigrams, fitted on a bounded sample of the rows of each declared
+language, so that rare languages are as well known as frequent ones; long texts are tempered, as their trigrams are not independent. A text
+that every language makes less likely than letters at random is of another one. All other terms are counts over all rows, made by grouped
 aggregations of the language that the text alone speaks for. The prior of a host is smoothed towards that of its parent domain,
 and this towards that of the corpus. Declared languages are primary subtags, suffixes those of countries; both are evidence, no
 more: a wrong declaration is outvoted by the text.
 
 Input rows have ``text`` and, where known, ``declared``, ``host`` and ``url``; ``as_rows`` makes them from a document table.
-A row whose text has no letters, or that no language has half of the posterior for, is rejected (language null or as found).
+A row whose text has no letters, or that no language has half of the posterior for, is rejected (language null or as found), and so is
+one of another language than those declared anywhere.
 Null declared, host or url is no evidence. Rows that repeat are judged alike. Other columns are carried untouched.
 """
 
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from hopscore.llm.storage import released, saved
 from hopscore.llm.words import in_parts
 
-SAMPLE = 6_000  # rows the text model is fitted on, at most
-LEAST_SHARE = 0.001  # of the sample that a language must have
+SAMPLE = 1_500  # texts per declared language that the text model is fitted on, by expectation: a share of them by hash
 FEATURES = 1 << 14
+OTHER_PRIOR = 0.01  # of a language that no row declares; its letters are all alike to it
 TEMPER, FULL = 0.25, 200.0  # weight of a trigram, and the number of them that counts in full
 SMOOTH = 20.0  # rows that a host's own counts must outweigh
 CONFIDENT = 0.5
@@ -113,12 +115,14 @@ def as_rows(docs: DataFrame, declared: str = "lang", host: str = "source", url:
 
 
 def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Fit the text likelihoods on at most ``sample`` declared rows, chosen by their hash; repeated texts count once."""
+    """Fit the text likelihoods on about ``sample`` texts of each declared language, chosen by their hash; repeated texts count once."""
     named = rows.where("declared is not null and text is not null").select("text", "declared")
     named = named.withColumn("h", F.xxhash64("text", "declared"))
-    bound = named.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if bound is None:
+    sizes = dict(named.groupBy("declared").agg(F.approx_count_distinct("h")).collect())  # subtags of two or three letters
+    if not sizes:
         return TextModel([], np.zeros((FEATURES, 0)))
+    shares = [(name, int(-(2**63) + min(1.0, sample / max(n, 1)) * (2**64 - 2048))) for name, n in sorted(sizes.items())]
+    bounds = rows.sparkSession.createDataFrame(shares, "declared string, bound long")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -128,7 +132,7 @@ def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
                     counts += np.bincount(trigrams(rows[a:b])[0], minlength=FEATURES)
                 yield pd.DataFrame({"language": [name], "texts": [len(rows)], "counts": [counts.tolist()]})
 
-    chosen = named.where(F.col("h") <= bound).dropDuplicates(["h"])
+    chosen = named.join(F.broadcast(bounds), "declared").where("h <= bound").select("text", "declared", "h").dropDuplicates(["h"])
     parts = chosen.mapInPandas(released(count), "language string, texts long, counts array<long>")
     summed = (
         parts.select("language", F.posexplode("counts").alias("feature", "n"))
@@ -136,8 +140,7 @@ def fit_text_model(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
         .groupBy("language", "feature")
         .agg(F.sum("n").alias("n"))
     )
-    named_rows = dict(chosen.groupBy("declared").count().collect())  # at most 1 / LEAST_SHARE languages are kept
-    languages = sorted(k for k, n in named_rows.items() if n >= LEAST_SHARE * sum(named_rows.values()))
+    languages = sorted(sizes)
     counts = np.zeros((FEATURES, len(languages)))
     for language, feature, n in summed.where(F.col("language").isin(languages)).toPandas().itertuples(index=False):
         counts[feature, languages.index(language)] = n
@@ -153,11 +156,12 @@ def _evidence(rows: DataFrame, model: TextModel, key: Column) -> DataFrame:
             found, counts = model.scores(texts)
             best = np.where(counts > 0, found.argmax(axis=1), -1)
             letters = [bool(_LETTER.search(text or "")) for text in texts]
-            yield frame.drop(columns="text").assign(likelihoods=list(found), spoken=best, letters=letters)
+            other = -np.log(FEATURES) * TEMPER * np.minimum(counts, FULL)
+            yield frame.drop(columns="text").assign(likelihoods=list(found), spoken=best, letters=letters, other=other)
 
     rows = rows.select(key.alias("key"), "text", "declared", "host", "parent", "suffix")
     kind = rows.schema["key"].dataType.simpleString()
-    fields = "declared string, host string, parent string, suffix string, likelihoods array<double>, spoken int, letters boolean"
+    fields = "declared string, host string, parent string, suffix string, likelihoods array<double>, spoken int, letters boolean, other double"
     return rows.mapInPandas(released(score), f"key {kind}, {fields}")
 
 
@@ -195,8 +199,9 @@ def identify(rows: DataFrame, model: TextModel, key: Column) -> DataFrame:
             logs = np.log(prior) + np.array(frame["likelihoods"].tolist())
             logs += np.array([declared.get(x, none) for x in frame["declared"]])
             logs += np.array([suffixes.get(x, none) for x in frame["suffix"]])
+            logs = np.column_stack((logs, np.log(OTHER_PRIOR) + frame["other"].to_numpy(float)))
             logs -= logs.max(axis=1, keepdims=True)
-            posterior = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
+            posterior = (np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True))[:, :-1]
             best, silent = posterior.argmax(axis=1), ~frame["letters"].to_numpy(bool)
             top = np.where(silent, 0.0, posterior.max(axis=1))
             names = np.where(silent, None, np.array(languages, object)[best])
@@ -204,7 +209,7 @@ def identify(rows: DataFrame, model: TextModel, key: Column) -> DataFrame:
 
     joined = found.join(hosts, "host", "left").join(parents, "parent", "left")
     kind = found.schema["key"].dataType.simpleString()
-    used = ["key", "likelihoods", "declared", "suffix", "letters", "host_counts", "parent_counts"]
+    used = ["key", "likelihoods", "declared", "suffix", "letters", "other", "host_counts", "parent_counts"]
     return joined.select(used).mapInPandas(released(fuse), f"key {kind}, language string, probability double, accepted boolean")
 
 

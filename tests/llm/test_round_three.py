@@ -12,7 +12,7 @@ import pytest
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
-from hopscore.llm import byte_bpe, centroids, decontaminate, html_text, prefix_trie, warc  # noqa: E402
+from hopscore.llm import byte_bpe, centroids, decontaminate, html_text, language, prefix_trie, warc  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -340,3 +340,16 @@ def test_pages_of_an_empty_table_and_with_clashing_columns(spark):
     frame = spark.createDataFrame([row, row], schema)
     assert rows_of(html_text.extract_pages(frame)) == [(1, "u", "Some text, here.", 16)] * 2
     assert html_text.extract_pages(frame.limit(0)).count() == 0
+
+
+def test_rare_and_unknown_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    greek = ["και το", "δεν είναι", "η πόλη", "μια μέρα", "θάλασσα", "καλημέρα σας", "όλοι μαζί"]
+    cyrillic = ["и это", "не было", "город", "один день", "море", "доброе утро", "все вместе"]
+    draw = np.random.default_rng(2)
+    say = lambda words: " ".join(draw.choice(words, 40))
+    rows = [(10_000 + i, say(greek), "el", "src1") for i in range(4)] + [(10_100, say(greek), "en", "src1"), (10_101, say(greek), None, "src2")]
+    rows += [(10_200 + i, say(cyrillic), lang, "src1") for i, lang in enumerate(["en", "de", None])]
+    found = {r.doc_id: r for r in language.identify_documents(docs.union(spark.createDataFrame(rows, docs.schema))).where("doc_id >= 10000").collect()}
+    assert all(found[i].accepted and found[i].language == "el" for i in (10_000, 10_001, 10_002, 10_003, 10_100, 10_101))
+    assert not any(found[i].accepted for i in (10_200, 10_201, 10_202))
