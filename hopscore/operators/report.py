@@ -61,17 +61,24 @@ def report_cells(pairs: DataFrame, fields: list[str], keys: list[str] = CONFIG)
 def merge_cells(cells: DataFrame, added: DataFrame, retracted: DataFrame) -> DataFrame:
     """``cells`` with the measures of ``added`` and without those of ``retracted``; a cell without results is left out.
 
-    Counts are exact; sums of scores and durations are doubles, so that many retractions leave rounding errors of their size.
+    Sums are decimals here (``exact_cells``), so that what is added and retracted later leaves no rounding errors.
     """
     measures = list(_measures())
     by = [f"`{c}`" for c in cells.columns if c not in measures]
-    minus = retracted.withColumns({m: -F.col(m) for m in measures})
-    every = cells.unionByName(added).unionByName(minus)
-    return every.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures]).filter(F.col("n") > 0)
+    minus = exact_cells(retracted).withColumns({m: -F.col(m) for m in measures})
+    every = exact_cells(cells).unionByName(exact_cells(added)).unionByName(minus)
+    return exact_cells(every.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures]).filter(F.col("n") > 0))
+
+
+def exact_cells(cells: DataFrame) -> DataFrame:
+    """Cells whose sums of scores and durations are decimals of nine places."""
+    return cells.withColumns({m: F.col(m).cast("decimal(38,9)") for m in (*[f"sum_{s}" for s in SCORES.values()], "duration")})
 
 
 def _stats(cells: DataFrame, *by: str) -> DataFrame:
-    sums = cells.groupBy(*by).agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _measures()])
+    whole = {"n", "errors", "correct", "with_stats", *TOKENS}
+    totals = {name: F.sum(name) if name in whole else F.sum(name).cast("double") for name in _measures()}
+    sums = cells.groupBy(*by).agg(*[F.coalesce(total, F.lit(0)).alias(name) for name, total in totals.items()])
     n, errors, timed = F.col("n"), F.col("errors"), F.col("with_stats")
     valid = n - errors
     columns = {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopscore.model import KEY
-from hopscore.operators.report import merge_cells, report_cells
+from hopscore.operators.report import exact_cells, merge_cells, report_cells
 from hopscore.operators.scoring import pair_results
 from hopscore.plans.report_text import Report
 from hopscore.sources.result_store import ResultStore
@@ -57,7 +57,7 @@ class IncrementalReport:
 
     def _keep(self, cells: DataFrame, state: tuple[str, int], number: int) -> None:
         name = f"cells-{uuid.uuid4().hex}"
-        cells.write.parquet(f"{self.path}/{name}")
+        exact_cells(cells).write.parquet(f"{self.path}/{name}")
         line = [(name, *state, number)]
         mode = "overwrite" if number == 0 else "append"
         self.store.spark.createDataFrame(line, STATES).coalesce(1).write.mode(mode).parquet(f"{self.path}/states")
