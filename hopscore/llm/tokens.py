@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 
-ENTRIES = 60_000  # pieces in each of the two generations that a worker remembers, each of at most about 700 bytes
+ENTRIES = 200_000  # pieces in each of the two generations that a worker remembers, each of at most about 700 bytes
 PIECE = 64  # characters; longer pieces are not remembered
 
 # White space by Unicode or by Python other than space and line feed, and the mark of a text's first piece.
