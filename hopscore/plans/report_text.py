@@ -78,6 +78,9 @@ SUMMARY_SCORES = (
     ("Avg Precision", "avg_precision"),
     ("Avg Recall", "avg_recall"),
 )
+TITLE, TOTAL, BY_FIELD, FIELD = "# Report: ", "**Total:** ", "## By Field", "### "
+ERRORS, TOTAL_ERRORS, MISSING, TYPES = "## Errors", "**Total Errors:** ", "**Missing Relations:**", "**Error Types:**"
+FIELD_ROW = "| %s | %d | %d | %s | %s |"
 FIELD_HEAD = ("", "| Value | Count | Errors | Accuracy | F1 |", "|-------|-------|--------|----------|-----|")
 
 
@@ -128,7 +131,7 @@ def markdown_lines(report: Report) -> DataFrame:
     their values; a heading sorts before its values, a closing blank line after them."""
     first, last = F.lit(""), F.lit("\U0010ffff")
     zero = F.lit(0)
-    head = [F.concat(F.lit("# Report: "), "run_id"), F.lit(""), F.concat(F.lit("**Total:** "), F.col("count").cast("string"))]
+    head = [F.concat(F.lit(TITLE), "run_id"), F.lit(""), F.concat(F.lit(TOTAL), F.col("count").cast("string"))]
     head += [F.lit(line) for line in SUMMARY_HEAD]
     head += [F.format_string(f"| {label} | %d |", F.col(name)) for label, name in SUMMARY_ROWS]
     head += [F.format_string(f"| {label} | %s |", _four(name)) for label, name in SUMMARY_SCORES]
@@ -137,13 +140,13 @@ def markdown_lines(report: Report) -> DataFrame:
     if report.fields:
         position = F.array_position(F.array(*map(F.lit, report.fields)), F.col("field")).cast("int")
         runs = report.summary.select("run_id")
-        blocks.append(_block(runs, 2, zero, first, [F.lit("## By Field"), F.lit("")]))
+        blocks.append(_block(runs, 2, zero, first, [F.lit(BY_FIELD), F.lit("")]))
         asked = runs.select("run_id", F.explode(F.array(*map(F.lit, report.fields))).alias("field"))
-        opening = [F.concat(F.lit("### "), "field"), *map(F.lit, FIELD_HEAD)]
+        opening = [F.concat(F.lit(FIELD), "field"), *map(F.lit, FIELD_HEAD)]
         blocks.append(_block(asked, 2, position, first, opening))
         blocks.append(_block(asked, 2, position, last, [F.lit("")]))
         row = F.format_string(
-            "| %s | %d | %d | %s | %s |", "value", "count", "error_count", _four("accuracy"), _four("avg_f1")
+            FIELD_ROW, "value", "count", "error_count", _four("accuracy"), _four("avg_f1")
         )
         # A value's lines sort after the heading, also when the value is the empty string.
         values = report.by_field.select("*", row.alias("row"))
@@ -151,15 +154,15 @@ def markdown_lines(report: Report) -> DataFrame:
 
     failing = report.total_errors.filter(F.col("total_errors") > 0)
     opening = [
-        F.lit("## Errors"),
+        F.lit(ERRORS),
         F.lit(""),
-        F.concat(F.lit("**Total Errors:** "), F.col("total_errors").cast("string")),
+        F.concat(F.lit(TOTAL_ERRORS), F.col("total_errors").cast("string")),
         F.lit(""),
     ]
     blocks.append(_block(failing, 3, zero, first, opening))
     for item, heading, table, label in (
-        (1, "**Missing Relations:**", report.missing_relations, F.col("relation")),
-        (2, "**Error Types:**", report.error_types, F.col("category")),
+        (1, MISSING, report.missing_relations, F.col("relation")),
+        (2, TYPES, report.error_types, F.col("category")),
     ):
         line = F.concat(F.lit("- "), label)
         if item == 2:
