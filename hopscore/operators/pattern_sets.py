@@ -12,9 +12,8 @@ no pattern: it gets a row in ``errors``, all others are answered.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from functools import reduce
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +25,8 @@ from hopscore.session import cut_lineage, stored
 
 POSITIONS = ("s", "p", "o")
 AT_ONCE = 16  # shapes in one plan; more are answered one group after another
+MOST_TASKS = 1_000  # in which dealt questions meet their answers
+DEAL = 500  # questions, and answers, of one tuple of constants that meet in one place
 FEW_RELATIONS = 256  # relations of a shape's pattern that are pushed into the scan of the triples
 
 #: Why a question is refused.
@@ -34,12 +35,16 @@ UNBOUND = "a selected variable stands in no pattern"
 NO_PATTERN = "no patterns"
 
 
-class Answers(NamedTuple):
+class Answers:
     """``rows``: ``question_id, cells`` with one term per selected variable; a question that selects none asks whether its patterns match and
-    has one row, ``true`` or ``false``. ``errors``: ``question_id, engine_error``."""
+    has one row, ``true`` or ``false``. ``errors``: ``question_id, engine_error``. The jobs of ``rows`` run when it is first asked for."""
 
-    rows: DataFrame
-    errors: DataFrame
+    def __init__(self, answer: Callable[[], DataFrame], errors: DataFrame):
+        self._answer, self.errors = answer, errors
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self._answer()
 
 
 def shape_of(patterns: list[tuple[str, str, str]], select: list[str], distinct: bool) -> tuple[str, list[str]]:
@@ -161,16 +166,43 @@ def _answer_shape(tuples: DataFrame, triples: DataFrame, shape: str, relations:
     return rows.distinct() if distinct else rows
 
 
-def triple_answers(queries: DataFrame, triples: DataFrame) -> Answers:
+def _deal(asked: DataFrame, answered: DataFrame) -> DataFrame:
+    """``asked`` and ``answered`` joined by ``id``. Where many questions share a tuple with many answers, both are dealt to a grid of places of at
+    most about DEAL by DEAL rows: each question stands in one row of its grid and each answer in one column, so that no task makes all rows of a tuple."""
+    sides = [(asked, "down", "across"), (answered, "across", "down")]
+    grid = None
+    for rows, name, _ in sides:
+        count = rows.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias(name))
+        grid = grid.join(count, "id") if grid is not None else count
+    grid = stored(grid.filter("down > 1 OR across > 1"), "grids")  # broadcast: a row stands for more than DEAL others
+    dealt = []
+    for rows, name, other in sides:
+        own = F.floor(F.rand(7) * F.coalesce(name, F.lit(1))).cast("int")  # the rows are stored, so a task that is repeated deals them alike
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        dealt.append(rows.join(F.broadcast(grid), "id", "left").withColumn(f"{name}_at", own).withColumn(f"{other}_at", every).drop("down", "across"))
+    places = grid.agg(F.coalesce(F.sum(F.col("down").cast("bigint") * F.col("across")), F.lit(0))).first()[0]
+    if places:
+        tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(places, MOST_TASKS))
+        dealt = [rows.repartition(tasks, "id", "down_at", "across_at") for rows in dealt]  # by number: such tasks are not merged for their few bytes
+    return dealt[0].join(dealt[1], ["id", "down_at", "across_at"]).drop("id", "down_at", "across_at")
+
+
+def triple_answers(queries: DataFrame, triples: DataFrame, shown: dict[str, Column] | None = None) -> Answers:
     """Answers of all questions: ``queries(question_id, patterns ARRAY<STRUCT<s, p, o>>, select ARRAY<STRING>[, distinct])`` over
     ``triples(s, p, o)``, in which a triple stands once. Terms that begin with ``?`` are variables, all others constants in written form.
 
     Rows keep their number (``distinct`` questions have each row once). Constants meet the triples by equi joins whose shared side is the
-    small one, so a hot node is split by adaptive execution; relations that are few are pushed into the scans. Runs one job that
-    writes the distinct tuples of constants, and one that reads their shapes.
+    small one, so a hot node is split by adaptive execution; relations that are few are pushed into the scans. ``shown`` names columns over
+    ``cells`` that stand in ``rows`` in their place: they are computed once per answer of a tuple, not for each question that shares it.
+    Runs one job that writes the distinct tuples of constants, one that reads their shapes, one that writes the answers of the tuples, and one that
+    counts them.
     """
     shaped = cut_lineage(with_shapes(queries))
-    named = shaped.filter(F.col("shape").isNotNull())
+    errors = shaped.filter(F.col("shape").isNull()).select("question_id", "engine_error")
+    return Answers(lambda: _answer(shaped.filter(F.col("shape").isNotNull()), triples, shown), errors)
+
+
+def _answer(named: DataFrame, triples: DataFrame, shown: dict[str, Column] | None) -> DataFrame:
     tuples = cut_lineage(named.select("shape", "constants").distinct().withColumn("id", F.monotonically_increasing_id()))
     shapes = [row[0] for row in tuples.select("shape").distinct().orderBy("shape").toLocalIterator()]
     relations = _relations(tuples)
@@ -182,8 +214,9 @@ def triple_answers(queries: DataFrame, triples: DataFrame) -> Answers:
     empty = tuples.select("id", F.lit(None).cast("array<string>").alias("cells")).limit(0)
     answered = reduce(DataFrame.unionByName, parts) if parts else empty
     asked = named.join(tuples, ["shape", "constants"]).select("question_id", "id")
-    rows = asked.join(answered, "id").select("question_id", "cells")
-    return Answers(rows, shaped.filter(F.col("shape").isNull()).select("question_id", "engine_error"))
+    if shown:
+        answered = answered.select("id", *[column.alias(name) for name, column in shown.items()])
+    return _deal(stored(asked, "pattern-questions"), stored(answered, "pattern-texts"))
 
 
 def term_cell(term: Column) -> Column:
@@ -192,8 +225,12 @@ def term_cell(term: Column) -> Column:
     return F.substr(text, F.lit(2), F.length(text) - 2)
 
 
+def text_of_terms(cells: Column) -> Column:
+    """The answer text of a row of terms, or of ``true`` or ``false``."""
+    truth = cells[0].isin("true", "false") & (F.size(cells) == 1)  # written terms begin with <, _: or a quote
+    return answer_of_cells(F.when(truth, cells).otherwise(F.transform(cells, term_cell)))
+
+
 def answers_of_terms(rows: DataFrame) -> DataFrame:
     """``question_id, row_idx, answer`` as the execute stage takes them. Patterns give no order, so all rows have place 0."""
-    truth = F.col("cells")[0].isin("true", "false") & (F.size("cells") == 1)  # written terms begin with <, _: or a quote
-    cells = F.when(truth, F.col("cells")).otherwise(F.transform("cells", term_cell))
-    return rows.select("question_id", F.lit(0).alias("row_idx"), answer_of_cells(cells).alias("answer"))
+    return rows.select("question_id", F.lit(0).alias("row_idx"), text_of_terms(F.col("cells")).alias("answer"))

@@ -159,3 +159,18 @@ def test_ask_joins_the_last_pattern_by_existence(spark, graph):
     plan = triple_ask(triples, [("?a", "<r>", "?b"), ("?b", "<s>", "?c")])._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "Distinct" not in plan
     assert F is not None
+
+
+def test_questions_that_share_many_answers_are_dealt(spark, monkeypatch):
+    """60 questions share the 60 answers of one tuple: no task makes more than a part of the 3,600 rows, and texts are made once per answer."""
+    monkeypatch.setattr(pattern_sets, "DEAL", 5)
+    triples = spark.createDataFrame([(f"<n{i}>", "<r>", "<x>") for i in range(60)] + [("<n1>", "<s>", "<y>")], "s string, p string, o string")
+    rows = [(f"q{i}", [("?a", "<r>", "<x>")], ["?a"], False) for i in range(60)] + [("one", [("?a", "<s>", "<y>")], ["?a"], False)]
+    kept = []
+    stored = pattern_sets.stored
+    monkeypatch.setattr(pattern_sets, "stored", lambda df, name: kept.append((name, df.columns, df.count())) or stored(df, name))
+    found = triple_answers(spark.createDataFrame(rows, QUERY), triples, {"answer": pattern_sets.text_of_terms(F.col("cells"))}).rows
+    want = [(f"q{i}", f"n{j}") for i in range(60) for j in range(60)] + [("one", "n1")]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 400
+    assert ("pattern-texts", ["id", "answer"], 61) in kept
