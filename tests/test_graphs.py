@@ -331,3 +331,20 @@ def test_traversal_values(spark, dtype, item, text):
 def test_numbers_by_their_written_form(value, written, datatype, text):
     literal = f'"{written}"^^<http://www.w3.org/2001/XMLSchema#{datatype}>'
     assert value(lambda c: term_text(parse_term(c)), "string", literal) == text
+
+
+@pytest.mark.parametrize("few_ends, rows", [(1000, 120), (3, 480)])
+def test_a_crowd_shuffles_lists_in_its_last_hop(spark, monkeypatch, few_ends, rows):
+    """60 questions stand on the same two nodes with four ends each: 120 lists travel, or 480 single ends where a node has too many for a list."""
+    from hopscore.operators import hops
+
+    monkeypatch.setattr(hops, "FEW_ENDS", few_ends)
+    monkeypatch.setattr(hops, "BUCKETS", 1)
+    edges = [(f"s{i}", "A", f"h{j}") for i in range(60) for j in range(2)] + [(f"h{j}", "B", f"x{i + 2 * j}") for i in range(4) for j in range(2)]
+    asked = [(f"q{i}", f"s{i}", [("A", False), ("B", False)]) for i in range(60)]
+    frame = spark.createDataFrame(asked, "question_id string, seed string, path array<struct<rel: string, reverse: boolean>>")
+    found = hop_answers(frame, spark.createDataFrame(edges, "src string, rel string, dst string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"q{i}", f"x{j}") for i in range(60) for j in range(6))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("collect_list" in plan) == (rows == 120)
+    assert ("RepartitionByExpression [root" in plan) == (rows == 120)
