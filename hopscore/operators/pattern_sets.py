@@ -215,7 +215,7 @@ def _answer(named: DataFrame, triples: DataFrame, shown: dict[str, Column] | Non
     answered = reduce(DataFrame.unionByName, parts) if parts else empty
     asked = named.join(tuples, ["shape", "constants"]).select("question_id", "id")
     if shown:
-        answered = answered.select("id", *[column.alias(name) for name, column in shown.items()])
+        answered = stored(answered, "pattern-answers").select("id", *[column.alias(name) for name, column in shown.items()])
     return _deal(stored(asked, "pattern-questions"), stored(answered, "pattern-texts"))
 
 
