@@ -10,17 +10,23 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
+from unicodedata import is_normalized
 
 import numpy as np
 
-ENTRIES = 200_000  # pieces in each of the two generations that a worker remembers, each of at most about 700 bytes
+ENTRIES = 400_000  # pieces in each of the two generations that a worker remembers: mostly about 200 bytes each, at most 700
 PIECE = 64  # characters; longer pieces are not remembered
+JOINED, TEXTS = 256, 64  # pieces in a text for the library, and texts in a call
 
 # White space by Unicode or by Python other than space and line feed, and the mark of a text's first piece.
 OTHER = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 FIRST = "\0"
 RUNS = ("  ", " \n", "\n ", "\n\n")
 
+# Fixed values of the files: how a space and the end of a word are written in their vocabularies.
+SPACE, WORD_END = "\u0120", "</w>"
+
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _loaded: dict[str, Encoder] = {}
 
@@ -39,6 +45,14 @@ def _piece(key: str) -> str:
     return key[1:] if key[0] == FIRST else key if key[0] in " \n" else " " + key
 
 
+def _fold(text: str) -> str:
+    """The text with A-Z lowered, where that changes nothing of what normalising and lowering make of it: both spellings are normal already."""
+    if text.isascii():
+        return text.lower()
+    low = text.encode().lower().decode()  # bytes lower A-Z only
+    return low if is_normalized("NFC", text) and is_normalized("NFC", low) else text
+
+
 class Encoder:
     """``encode`` gives the ids of texts as unsigned 32-bit integers, exactly those of the tokenizers library."""
 
@@ -50,31 +64,66 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # the names of special tokens are text like any other
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.ends = dict(zip(("", ".", ","), self._library(["", ".", ","]), strict=True))
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         self.folds = self._library(list(letters)) == self._library(list(letters.lower()))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.starts, self.ends = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.gap = self._library([FIRST])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _joined(self, words: list[str], between: str, spans: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+        """Ids of words after a space. The library gets many as one text, as most of its time for a short text is not spent on the text;
+        ``spans`` finds first and last places of the words in its ids. Where it doesn't find one span for each word, they are encoded with
+        marks between them or else one by one."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out = []
+        for i in range(0, len(groups), TEXTS):
+            some = groups[i : i + TEXTS]
+            for group, raw in zip(some, self._library([" " + between.join(group) for group in some]), strict=True):
+                first, last = spans(np.frombuffer(raw, np.uint32))
+                if len(first) == len(group):
+                    out += [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist(), strict=True)]
+                elif spans == self._by_ends:
+                    out += self._joined(group, f" {FIRST} ", self._by_gaps)
+                else:
+                    out += self._library([" " + word for word in group])
+        return out
+
+    def _by_starts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.starts[ids])
+        return at, np.append(at[1:], len(ids))
+
+    def _by_ends(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.ends[ids]) + 1
+        return np.append(0, at)[:-1], at
+
+    def _by_gaps(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(ids == np.frombuffer(self.gap, np.uint32))
+        return np.append(0, at + 1), np.append(at, len(ids))
+
     def _encode_new(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces by name. A stop or comma after a letter is always a token's start, so that words share one entry."""
-        parts, bases = {}, set()
-        for key in new:
-            base = key.lower() if self.folds and key.isascii() else key
-            end = base[-1:] if len(base) > 1 and base[-1] in ".," and base[-2].isalpha() else ""
-            parts[key] = (base[:-1] if end else base, end)
-            bases.add(parts[key][0])
-        found = {k: self.young[k] for k in bases.intersection(self.young)}
-        missing = list(bases.difference(found))
-        found.update(zip(missing, self._library([_piece(k) for k in missing]), strict=True))
-        self.young.update((k, found[k]) for k in missing if len(k) <= PIECE)
-        return {key: found[base] + self.ends[end] for key, (base, end) in parts.items()}
+        """Ids of pieces by name. Words are told apart by the tokens that begin with their space, if tokens keep spaces, else by the tokens that end
+        words of letters, and by a mark that no word holds between others."""
+        words = [k for k in new if k[:1] not in "\0 \n"]
+        odd = [k for k in new if k[:1] in "\0 \n"]
+        found = dict(zip(odd, self._library([_piece(k) for k in odd]), strict=True))
+        if self.ends.any() and len(self.gap) == 4:
+            letters, others = [k for k in words if k.isalpha()], [k for k in words if not k.isalpha()]
+            found.update(zip(letters, self._joined(letters, " ", self._by_ends), strict=True))
+            found.update(zip(others, self._joined(others, f" {FIRST} ", self._by_gaps), strict=True))
+        else:
+            found.update(zip(words, self._joined(words, " ", self._by_starts), strict=True))
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         whole = [not text or FIRST in text or any(c in text for c in OTHER) for text in texts]
-        keys = [[] if alone else _keys(text) for text, alone in zip(texts, whole, strict=True)]
+        fold = _fold if self.folds else str
+        keys = [[] if alone else _keys(fold(text)) for text, alone in zip(texts, whole, strict=True)]
         new = set().union(*keys).difference(self.young)
         if len(self.young) + len(new) > ENTRIES:
             self.young, self.old = {}, self.young
@@ -93,7 +142,6 @@ class Encoder:
             del known[k]
         return out
 
-
     def forget(self) -> None:
         """Give the memory of pieces back; called at the end of a partition, as idle workers stay."""
         self.young, self.old = {}, {}

@@ -93,6 +93,19 @@ def test_pieces_encode_as_the_library_does(path):
             assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_the_library_gets_new_pieces_many_at_a_time(path, monkeypatch):
+    tokens = type(encoder(path))(path)
+    marks = ["", ".", ",", "'s", "'", "###", "1", "é", "É", "H\u0331", "h\u0331", "İ", "ß", "Σ", "\u0301x", "Ⅷ", "中", "a\u0327", "\x01", "\x7f"]
+    texts = [" ".join(f"{m}Ab{chr(97 + i % 26)}{chr(97 + i // 26)}x{m}" for i in range(a, a + 130)) for a in range(0, 520, 130) for m in marks]
+    given, library = [], tokens._library
+    monkeypatch.setattr(tokens, "_library", lambda some: given.append(len(some)) or library(some))
+    found = tokens.encode(texts)
+    assert sum(given) < len(texts) * 130 / 20  # nearly all pieces are different
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_exact_duplicates(odd, empty):
     found = exact_dedup.exact_duplicates(odd)
     texts = [(r.doc_id, r.text or "") for r in odd.collect()]
