@@ -348,3 +348,18 @@ def test_a_crowd_shuffles_lists_in_its_last_hop(spark, monkeypatch, few_ends, ro
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert ("collect_list" in plan) == (rows == 120)
     assert ("RepartitionByExpression [root" in plan) == (rows == 120)
+
+
+def test_a_term_text_is_no_method_too_long_to_be_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes of code for good."""
+    xsd = "^^<http://www.w3.org/2001/XMLSchema#double>"
+    written = ["1", "-1.5", "+2.50E3", "1e16", "-1e16", "1E-5", "0.0001", "-1.25e-3", "1e15", "123456789.125", "INF", "-INF", "NaN", "1e300", "x"]
+    lines = spark.createDataFrame([(f'<a> <b> "{x}"{xsd} .',) for x in written], "value string")
+    parsed = triple_terms(parse_triples(lines))
+    texts = parsed.select(*[term_text(F.col(c)).alias(c) for c in ("s", "p", "o")])
+    stages = texts._jdf.queryExecution().debug().codegenToSeq()
+    assert all(stages.apply(i)._3().maxMethodCodeSize() <= 8_000 for i in range(stages.size()))
+    assert [r.o for r in texts.collect()] == [
+        "1.0", "-1.5", "2500.0", "1e+16", "-1e+16", "1e-05", "0.0001", "-0.00125", "1000000000000000.0", "123456789.125", "inf", "-inf", "nan",
+        "1e+300", "x",
+    ]
