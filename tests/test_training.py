@@ -199,3 +199,23 @@ def test_response_columns(spark):
     assert response_columns(log, ["question_id"]).columns == ["question_id", "content", "input_tokens", "output_tokens", "cached_tokens"]
     assert response_columns(log, ["question_id"]).first().content is None
     assert KEY[0] == "question_id"
+
+
+def test_predict_gives_freed_memory_back_between_batches(spark):
+    def load():
+        import gc
+
+        import pandas as pd
+
+        collected, collect = [], gc.collect
+        gc.collect = lambda *generation: collected.append(1) or collect(*generation)
+        return lambda batch: pd.DataFrame({"content": [str(len(collected))] * len(batch)})
+
+    prompts = spark.range(0, 60, 1, 1).selectExpr("cast(id AS string) AS question_id", "'x' AS prompt")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = predict(prompts, load, ["question_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(rows) == 60 and max(int(r.content) for r in rows) >= 3
