@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -22,6 +23,7 @@ from hopscore.llm import (  # noqa: E402
     packed_ids,
     packing,
     passages,
+    storage,
     warc,
     words,
 )
@@ -230,6 +232,47 @@ def test_runs_keep_the_recall_when_all_levels_split():
     assert (~met).mean() <= 0.0018  # 0.001, and 3.5 times its spread
 
 
+def test_windows_of_a_text_that_repeats_one_shingle_take_one_pass():
+    first = np.array([0, 20_000])
+    start = time.process_time()
+    found = passages.compact_windows(np.zeros(20_000, np.uint64), first, 46)
+    assert time.process_time() - start < 0.3  # by levels of the tree, one per repeat, 7.7 s
+    assert found.tolist() == [[0, i, i, 19_999] for i in range(20_000 - 45)]
+
+
+def test_verified_pieces_move_as_text(spark, tmp_path, monkeypatch):
+    words = [f"word{i}" for i in range(4_000)]
+    rows = [(i, " ".join([f"own{i}x{j}" for j in range(20)] + words + ["end"])) for i in range(6)]
+    sizes, plain = {}, passages.saved
+
+    def saved(df, name):
+        out = plain(df, name)
+        sizes[name] = out.columns if name not in sizes else sizes[name]
+        return out
+
+    monkeypatch.setattr(passages, "saved", saved)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.first_id, r.start, r.end) for r in found if r.first_id == 0) == [(i, 0, 20, 4_021) for i in range(1, 6)]
+    assert "piece" in sizes["passage-pieces"] and not any("shingles" in names for names in sizes.values())
+
+
+def test_shuffle_files_go_when_a_step_is_written(spark):
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(name)
+
+    class Watched:
+        def __init__(self, df):
+            self.df, self.sparkSession, self.schema = df, df.sparkSession, df.schema
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(name))
+            return self.df.write
+
+    assert storage.saved(Watched(spark.range(10).repartition(3, "id")), "watched").count() == 10
+    assert seen == ["true"] and spark.conf.get(name) == before
+
+
 def test_compact_windows_cover_every_subsequence():
     draw = np.random.default_rng(5)
     values = draw.integers(0, 12, 60).astype(np.uint64)
