@@ -55,19 +55,20 @@ def token_penalties(tokenizer: str) -> np.ndarray:
 
 def choose_cuts(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
     """Indices of the cuts of least cost. ``positions`` rise from 0 by at most ``length``; the first and last are cuts."""
-    places, costs = positions.tolist(), penalties.tolist()
-    best, back = [0.0] * len(places), [0] * len(places)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    places, costs = positions.tolist(), (penalties + length).tolist()
+    back = [0] * len(places)
+    values, cuts_of, head = [0.0], [0], 0  # the queue: best(b) + b, and b; what stands before ``head`` has left it
     for i in range(1, len(places)):
-        place = places[i]
-        while places[queue[0][1]] < place - length:
-            queue.popleft()
-        value, back[i] = queue[0]
-        best[i] = value + costs[i] + length - place
-        value = best[i] + place
-        while queue and queue[-1][0] > value:
-            queue.pop()
-        queue.append((value, i))
+        reach = places[i] - length
+        while places[cuts_of[head]] < reach:
+            head += 1
+        back[i] = cuts_of[head]
+        value = values[head] + costs[i]
+        while len(values) > head and values[-1] > value:
+            values.pop()
+            cuts_of.pop()
+        values.append(value)
+        cuts_of.append(i)
     cuts = [len(places) - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])

@@ -3,42 +3,78 @@
 A piece is a run of spaces and line feeds with what follows it up to the next one. Neither tokenizer lets a token hold white
 space after another character, so that the ids of a text are those of its pieces in a row. A text that holds other white
 space is encoded as a whole.
+
+Most pieces are a short word after one space. Their bytes are two integers, and all of them in a batch are looked up at once in a table of as many
+slots as memory allows, by these integers themselves; a word that is new there takes the place of the one before. Other pieces are remembered by name.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Callable
 from unicodedata import is_normalized
 
 import numpy as np
 
-ENTRIES = 400_000  # pieces in each of the two generations that a worker remembers: mostly about 200 bytes each, at most 700
+from hopscore.llm.words import mix, word_edges
+
+SLOT_BITS, SHORT, FEW_IDS = 20, 16, 8  # of the table of words: its places (49 bytes each), most bytes of a word and most ids
+ENTRIES = 200_000  # other pieces in each of the two generations that a worker remembers: mostly about 200 bytes each, at most 700
 PIECE = 64  # characters; longer pieces are not remembered
 JOINED, TEXTS = 256, 64  # pieces in a text for the library, and texts in a call
 
 # White space by Unicode or by Python other than space and line feed, and the mark of a text's first piece.
 OTHER = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 FIRST = "\0"
-RUNS = ("  ", " \n", "\n ", "\n\n")
 
 # Fixed values of the files: how a space and the end of a word are written in their vocabularies.
 SPACE, WORD_END = "\u0120", "</w>"
 
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first bytes of eight, by their number
 _loaded: dict[str, Encoder] = {}
 
 
-def _keys(text: str) -> list[str]:
-    """The pieces by their names: a piece after one space is named without it, one without white space by FIRST and itself."""
-    if text[0] not in " \n" and text[-1] not in " \n" and not any(run in text for run in RUNS):
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = FIRST + keys[0]
-        return keys
-    keys = _PIECES.findall(text)
-    return [k[1:] if k[0] == " " and k[1:2] not in ("", " ", "\n") else k if k[0] in " \n" else FIRST + k for k in keys]
+class _Pieces:
+    """Where the pieces of texts lie in their bytes ``raw``: ``begin`` of its white space, ``start`` and ``end`` of what follows; ``first`` piece of each text."""
+
+    def __init__(self, texts: list[str]):
+        encoded = [text.encode() for text in texts]
+        self.raw = b"\n".join(encoded)
+        self.at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in encoded])))
+        starts, ends = word_edges(self.raw)
+        first = np.searchsorted(starts, self.at)
+        begin = np.append(0, ends)[:-1]
+        some = np.diff(first) > 0
+        begin[first[:-1][some]] = self.at[:-1][some]
+        last = self.at[:-1].copy()
+        last[some] = ends[first[1:][some] - 1]
+        stop = self.at[1:] - 1
+        blank = np.flatnonzero(last < stop)  # texts that end with white space: a piece by itself
+        place = first[1:][blank]
+        self.begin, self.start, self.end = (np.insert(x, place, y[blank]) for x, y in ((begin, last), (starts, stop), (ends, stop)))
+        self.first = first + np.append(0, np.cumsum(last < stop))
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces that are a short word after one space, and their bytes as two integers; no byte is 0."""
+        data = np.frombuffer(self.raw + bytes(SHORT), np.uint8)
+        size = self.end - self.start
+        short = np.flatnonzero((self.start - self.begin == 1) & (data[self.begin] == 32) & (size > 0) & (size <= SHORT))
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        start, size = self.start[short], size[short]
+        return short, eight[start] & _LOW[np.minimum(size, 8)], eight[start + 8] & _LOW[np.maximum(size - 8, 0)]
+
+    def names(self, which: np.ndarray) -> list[str]:
+        """Pieces by their names: a word after one space is named without it, a piece without white space by FIRST and itself."""
+        out = []
+        for begin, start, end in zip(self.begin[which].tolist(), self.start[which].tolist(), self.end[which].tolist(), strict=True):
+            if begin == start:
+                out.append(FIRST + self.raw[start:end].decode())
+            elif start - begin == 1 and self.raw[begin] == 32 and start < end:
+                out.append(self.raw[start:end].decode())
+            else:
+                out.append(self.raw[begin:end].decode())
+        return out
 
 
 def _piece(key: str) -> str:
@@ -62,8 +98,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the names of special tokens are text like any other
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.low = self.high = self.sizes = self.ids = np.zeros(0, np.uint64)
+        self.forget()
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         self.folds = self._library(list(letters)) == self._library(list(letters.lower()))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -120,31 +156,73 @@ class Encoder:
             found.update(zip(words, self._joined(words, " ", self._by_starts), strict=True))
         return found
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        whole = [not text or FIRST in text or any(c in text for c in OTHER) for text in texts]
-        fold = _fold if self.folds else str
-        keys = [[] if alone else _keys(fold(text)) for text, alone in zip(texts, whole, strict=True)]
-        new = set().union(*keys).difference(self.young)
+    def _named(self, names: list[str]) -> dict[str, bytes]:
+        """Ids of pieces by name, from memory or from the library."""
+        new = set(names).difference(self.young)
         if len(self.young) + len(new) > ENTRIES:
             self.young, self.old = {}, self.young
-            new = set().union(*keys)
-        known, old = self.young, self.old
-        if old:
-            seen = new.intersection(old)
-            known.update((k, old[k]) for k in seen)
-            new -= seen
-        known.update(self._encode_new(new))
-        out = []
-        for text, alone, names in zip(texts, whole, keys, strict=True):
-            raw = (self._library([text])[0] if text else b"") if alone else b"".join([known[k] for k in names])
-            out.append(np.frombuffer(raw, np.uint32))
-        for k in [k for k in new if len(k) > PIECE]:
-            del known[k]
-        return out
+            new = set(names)
+        seen = new.intersection(self.old) if self.old else set()
+        self.young.update((k, self.old[k]) for k in seen)
+        self.young.update(self._encode_new(new - seen))
+        return self.young
+
+    def _learn(self, found: dict[str, bytes], low: np.ndarray, high: np.ndarray, slots: np.ndarray) -> None:
+        """Put words into their slots."""
+        sizes = np.fromiter((len(x) // 4 for x in found.values()), np.int64, len(found))
+        few = np.flatnonzero(sizes <= FEW_IDS)
+        self.low[slots[few]] = 0  # of words with one slot the last one written stays, whole
+        rows = np.frombuffer(b"".join(x.ljust(4 * FEW_IDS, b"\0") for x in found.values() if len(x) <= 4 * FEW_IDS), np.uint32)
+        last = np.unique(slots[few][::-1], return_index=True)[1]
+        last = len(few) - 1 - last
+        few = few[last]
+        self.low[slots[few]], self.high[slots[few]], self.sizes[slots[few]] = low[few], high[few], sizes[few]
+        self.ids[slots[few]] = rows.reshape(-1, FEW_IDS)[last]
+
+    def _encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = _Pieces(texts)
+        short, low, high = pieces.words()
+        if not len(self.low):  # made when first needed
+            self.low, self.high = (np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(2))
+            self.sizes, self.ids = np.zeros(1 << SLOT_BITS, np.uint8), np.zeros((1 << SLOT_BITS, FEW_IDS), np.uint32)
+        slots = (mix(low ^ mix(high, 11), 12) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        known = (self.low[slots] == low) & (self.high[slots] == high)
+        there, size = slots[known], np.empty(len(pieces.begin), np.int64)
+        size[short[known]] = self.sizes[there]
+        rows = self.ids[there][np.arange(FEW_IDS) < self.sizes[there][:, None]]
+        is_known, is_new = (np.zeros(len(size), bool) for _ in range(2))
+        is_known[short[known]], is_new[short[~known]] = True, True
+        others = np.flatnonzero(~is_known)
+        names, new = pieces.names(others), is_new[others]
+        found = self._encode_new(set(words := [k for k, x in zip(names, new.tolist(), strict=True) if x]))
+        one = dict(zip(words, np.flatnonzero(~known).tolist(), strict=True))
+        at = np.array([one[k] for k in found], np.int64)
+        self._learn(found, low[at], high[at], slots[at])
+        odd = [k for k, x in zip(names, new.tolist(), strict=True) if not x]
+        named = self._named(odd)
+        raw = [found[k] if x else named[k] for k, x in zip(names, new.tolist(), strict=True)]
+        size[others] = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, whence = np.empty(int(size.sum()), np.uint32), np.repeat(is_known, size)
+        flat[whence], flat[~whence] = rows, np.frombuffer(b"".join(raw), np.uint32)
+        for k in {k for k in odd if len(k) > PIECE}:
+            del named[k]
+        ends = np.append(0, np.cumsum(size))[pieces.first].tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        alone = [not text or FIRST in text or any(c in text for c in OTHER) for text in texts]
+        fold = _fold if self.folds else str
+        others = [fold(text) for text, whole in zip(texts, alone, strict=True) if not whole]
+        pieced = iter(self._encode_pieces(others) if others else [])
+        return [
+            next(pieced) if not whole else np.frombuffer(self._library([text])[0] if text else b"", np.uint32) for text, whole in zip(texts, alone, strict=True)
+        ]
 
     def forget(self) -> None:
-        """Give the memory of pieces back; called at the end of a partition, as idle workers stay."""
-        self.young, self.old = {}, {}
+        """Give the memory of named pieces back; called at the end of a partition, as idle workers stay. The table of words, whose size is fixed, is kept
+        for the next one: many of its words have been met before."""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
 
 def encoder(path: str) -> Encoder:

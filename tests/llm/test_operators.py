@@ -108,6 +108,23 @@ def test_the_library_gets_new_pieces_many_at_a_time(path, monkeypatch):
         assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_known_words_are_looked_up_together(path, monkeypatch):
+    """Words of a batch come from one table, also where they share its slots; a table is kept from one partition to the next."""
+    tokens = type(encoder(path))(path)
+    texts = [" ".join(f"ab{i * j % 997}x{'y' * (i % 18)}" for i in range(200)) + end for j in range(20) for end in ("", " ", "\n\n")]
+    plain = [tokens.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [x.tolist() for x in tokens.encode(texts)] == plain
+    tokens.forget()
+    given, library = [], tokens._library
+    monkeypatch.setattr(tokens, "_library", lambda some: given.extend(some) or library(some))
+    assert [x.tolist() for x in tokens.encode(texts)] == plain
+    assert sum(map(len, given)) < sum(map(len, texts)) / 3
+    monkeypatch.setattr("hopscore.llm.tokens.SLOT_BITS", 2)
+    few = type(tokens)(path)
+    assert [x.tolist() for x in few.encode(texts[:9])] == plain[:9] and [x.tolist() for x in few.encode(texts)] == plain
+
+
 def test_exact_duplicates(odd, empty):
     found = exact_dedup.exact_duplicates(odd)
     texts = [(r.doc_id, r.text or "") for r in odd.collect()]
