@@ -273,6 +273,29 @@ def test_verified_pieces_move_as_text(spark, tmp_path, monkeypatch):
     assert "piece" in sizes["passage-pieces"] and not any("shingles" in names for names in sizes.values())
 
 
+def test_matches_are_shuffled_once(spark):
+    """Matches of a pair meet in one exchange, repeats with them; a repeat changes nothing."""
+    match = "struct<doc_id:long,copy:long>"
+    rows = [((1, 0), (2, 0), 3, 10, 60, f) for f in (1, 2, 1)] + [((1, 0), (2, 0), 3, 50, 99, 4), ((1, 0), (2, 0), 0, 200, 260, 4), ((1, 0), (3, 0), 0, 10, 60, 1)]
+    matches = spark.createDataFrame(rows, f"a {match}, b {match}, diagonal int, start int, end int, functions int")
+    found = passages._intervals(matches)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(x.b.doc_id, x.start, x.end, x.low, x.high) for x in found.collect()] == [(2, 10, 99, 7, 96)]
+
+
+def test_few_dropped_texts_leave_the_rows_where_they_are(spark):
+    text = sentence(4, 300)
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, sentence(5, 300))], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        kept = jaccard_join.drop_near_duplicates(docs)
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(x.doc_id for x in kept.collect()) == [1, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_shuffle_files_go_when_a_step_is_written(spark):
     name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
     before = spark.conf.get(name)
