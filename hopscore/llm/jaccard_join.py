@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from hopscore.llm.graph import Forest, components, runs
 from hopscore.llm.storage import discard, released, saved
 from hopscore.llm.words import mix, shingle_sets
+from hopscore.session import broadcast_if_small
 
 THRESHOLD, RECALL = 0.8, 0.999
 SKETCH = 48
@@ -315,4 +316,5 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall:
     kept = saved(kept.select("label", F.col("kept.text_key").alias("kept")), "join-kept")
     dropped = saved(mine.join(kept, "label").where("text_key != kept").select("text_key").distinct(), "join-dropped")
     rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row"), F.md5("text").alias("text_key"))
+    dropped = broadcast_if_small(dropped, "text_key")  # mostly few beside the rows, which then stay where they are
     return rows.join(dropped, "text_key", "left_anti").select("row.*")
