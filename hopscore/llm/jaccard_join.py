@@ -268,8 +268,9 @@ def _classes(docs: DataFrame, signed: DataFrame, threshold: float, recall: float
     sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = clusters.withColumnRenamed("node", "digest").join(points.select("digest", "weight", "text_key"), "digest")
     members = saved(members.join(saved(sizes, "cluster-sizes"), "label"), "join-members")
-    texts = docs.select(F.col("text").alias("text")).where("text is not null").groupBy(F.md5("text").alias("text_key"))
-    texts = texts.agg(F.any_value("text").alias("text"))
+    texts = docs.select(F.col("text").alias("text"), F.md5("text").alias("text_key")).where("text is not null")
+    wanted = broadcast_if_small(members.select("text_key"), "text_key")  # few texts are in a cluster; the others stay where they are
+    texts = texts.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.any_value("text").alias("text"))
     mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     paired = (
         members.join(texts, "text_key").withColumn("mine", mine)

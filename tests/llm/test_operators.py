@@ -283,6 +283,20 @@ def test_matches_are_shuffled_once(spark):
     assert [(x.b.doc_id, x.start, x.end, x.low, x.high) for x in found.collect()] == [(2, 10, 99, 7, 96)]
 
 
+def test_only_texts_of_clusters_are_shuffled(spark, tmp_path, monkeypatch):
+    """Texts that are like no other do not move when the clusters are compared."""
+    text, written = sentence(6, 200), []
+    monkeypatch.setattr(jaccard_join, "saved", lambda df, name: written.append((name, df)) or storage.saved(df, name))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), *((i, sentence(i, 200)) for i in range(10, 60))], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    found = jaccard_join.similarity_join(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted((x.doc_id, x.class_id) for x in found.where("n_links > 0").collect()) == [(1, 1), (2, 1)]
+    (links,) = [df for name, df in written if name == "join-links"]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("text_key", plan.index("Aggregate [text_key"))
+    assert "LeftSemi" in plan[at:] and "strategy=broadcast" in plan[at:]
+
+
 def test_few_dropped_texts_leave_the_rows_where_they_are(spark):
     text = sentence(4, 300)
     docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, sentence(5, 300))], "doc_id long, text string")
